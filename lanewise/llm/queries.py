@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lanewise.llm import decontamination
+from lanewise.llm import decontamination, pii
 
 QUERIES = {
     "op7_decontamination": decontamination.op7_decontamination,
+    "op9_personal_data": pii.op9_personal_data,
 }
 ORACLES = {
     "op7_decontamination": decontamination.ORACLE,
