@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lanewise.llm import bpe, decontamination, pii, quality
+from lanewise.llm import bpe, decontamination, pii, quality, sharding
 
 QUERIES = {
+    "op3_sharding": sharding.op3_sharding,
     "op10_quality": quality.op10_quality,
     "op5_bpe": bpe.op5_bpe,
     "op7_decontamination": decontamination.op7_decontamination,
