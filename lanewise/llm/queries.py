@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lanewise.llm import bpe, decontamination, pii, quality, sharding
+from lanewise.llm import bpe, chat, decontamination, pii, quality, sharding
 
 QUERIES = {
+    "op6_chat": chat.op6_chat,
     "op3_sharding": sharding.op3_sharding,
     "op10_quality": quality.op10_quality,
     "op5_bpe": bpe.op5_bpe,
@@ -12,5 +13,6 @@ QUERIES = {
     "op9_personal_data": pii.op9_personal_data,
 }
 ORACLES = {
+    "op6_chat": chat.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
 }
