@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lanewise.llm import bpe, chat, decontamination, pii, quality, sharding
+from lanewise.llm import bpe, chat, decontamination, neardup, pii, quality, sharding
 
 QUERIES = {
+    "op1_near_duplicates": neardup.op1_near_duplicates,
     "op6_chat": chat.op6_chat,
     "op3_sharding": sharding.op3_sharding,
     "op10_quality": quality.op10_quality,
