@@ -26,6 +26,7 @@ is its smallest non-null document id; empty tables give no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,11 +50,12 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 def words_of(text: str) -> list[str]:
     """Lower-cased words; only the six ASCII white-space characters separate."""
     text = text.lower()
-    if not text.isascii() or "\x1c" <= min(text, default="a") <= "\x1f" or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+    if not text.isascii() or _OTHER.search(text):  # split() would also part at these
         return [w for w in text.translate(_SPACES).split(" ") if w]
     return text.split()
 
 
+_OTHER = re.compile("[\x1c-\x1f]")
 _SPACES = dict.fromkeys([9, 10, 11, 12, 13], " ")
 
 
