@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lanewise.llm import bpe, chat, decontamination, neardup, pii, quality, sharding
+from lanewise.llm import bpe, chat, decontamination, neardup, pii, quality, sharding, urls
 
 QUERIES = {
+    "op8_urls": urls.op8_urls,
     "op1_near_duplicates": neardup.op1_near_duplicates,
     "op6_chat": chat.op6_chat,
     "op3_sharding": sharding.op3_sharding,
@@ -14,6 +15,7 @@ QUERIES = {
     "op9_personal_data": pii.op9_personal_data,
 }
 ORACLES = {
+    "op8_urls": urls.oracle(),
     "op6_chat": chat.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
 }
