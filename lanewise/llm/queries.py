@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lanewise.llm import bpe, chat, decontamination, neardup, packing, pii, quality, sharding, urls
+from lanewise.llm import bpe, chat, decontamination, neardup, packing, pii, quality, secrets, sharding, urls
 
 QUERIES = {
+    "op2_secrets": secrets.op2_secrets,
     "op4_packing": packing.op4_packing,
     "op8_urls": urls.op8_urls,
     "op1_near_duplicates": neardup.op1_near_duplicates,
