@@ -1 +1,6 @@
+"""The package's named queries."""
 
+from lanewise.plans import corpus_queries, scoring_queries, trace_queries  # noqa: F401
+from lanewise.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
