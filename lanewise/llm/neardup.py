@@ -7,14 +7,16 @@ respects order. Equal texts always share a class. Classes are the connected comp
 
 Sketch. For each of several random orders, the ``l`` smallest shingles, labelled by occurrence, are put
 back into text order and hashed to one key, which makes keys sensitive to edits and not only to sets. Texts
-of more than 80 shingles have 40 keys of l = 8, texts below 64 have 24 of l = 4, those between have
+of more than 80 shingles have 24 keys of l = 6, texts below 64 have 24 of l = 4, those between have
 both, so any two texts that can be linked share a family. A pair at exactly 0.8 shares a key with
 probability 0.99 to 0.999; the miss falls below 1e-5 at 0.9. No bucket is capped.
 
-Linking without pairs. Each bucket first tests its members only against two leaders (its smallest and
-largest member), so a bucket of n costs 2n tests. Members of one component need no further test, as more links
-could not change a class; only members of different components that still share a bucket are then
-tested pairwise. No link that matters to a class is lost, and a group of thousands of copies stays linear.
+Linking without all pairs. Each bucket first tests its members only against its leader (the member whose
+buckets are largest, so that buckets agree on it), and a bucket of n costs n tests. Members of one component need no further test, as
+more links could not change a class. Members of different components that still share a bucket are
+tested pairwise in buckets of at most ``PAIRWISE`` members; those of larger buckets go through an
+exact prefix join on their rarest shingles, which finds every pair that can reach 0.8 while what a large
+group has in common takes no part. No link that matters to a class is lost.
 
 Alignment is a bit-parallel LCS in a band: similarity 0.8 allows at most (A + B) / 9 insertions and
 deletions, so cells further from the diagonals cannot matter and the decision is exact.
@@ -39,7 +41,7 @@ from pyspark.sql import types as T
 from lanewise.llm.common import durable, free_name, load
 
 WORDS = 5
-LONG, SHORT = (40, 8), (24, 4)
+LONG, SHORT = (24, 6), (24, 4)
 SHORT_ONLY, LONG_ONLY = 63, 80
 _MEMO = 500_000
 
@@ -50,13 +52,12 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 def words_of(text: str) -> list[str]:
     """Lower-cased words; only the six ASCII white-space characters separate."""
     text = text.lower()
-    if not text.isascii() or _OTHER.search(text):  # split() would also part at these
-        return [w for w in text.translate(_SPACES).split(" ") if w]
-    return text.split()
+    return text.split() if text.isascii() and not _OTHER.search(text) else _WORD.findall(text)
 
 
+#: What split() would also part at, in ASCII texts.
 _OTHER = re.compile("[\x1c-\x1f]")
-_SPACES = dict.fromkeys([9, 10, 11, 12, 13], " ")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 class _Hashes(dict):
@@ -96,33 +97,46 @@ def _seeds(count: int, salt: int) -> np.ndarray:
 
 _FAMILIES = {f: _seeds(f[0], 1000 * f[1]) for f in (LONG, SHORT)}
 _BYTES = 1 << 25
+_PLACES = _mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
+#: Up to so many members, a bucket's unlinked members are tested pairwise.
+PAIRWISE = 8
+
+
+def labelled(s: np.ndarray) -> np.ndarray:
+    """The shingles, told apart by how often they came before."""
+    ordered = np.sort(s)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return s
+    n, order = len(s), np.argsort(s, kind="stable")
+    again = s[order][1:] == s[order][:-1]
+    run = np.arange(n) - np.maximum.accumulate(np.where(np.concatenate([[True], ~again]), np.arange(n), 0))
+    occurrence = np.empty(n, np.uint64)
+    occurrence[order] = run
+    return np.where(occurrence == 0, s, _mix(s + occurrence * _ODD))
 
 
 def order_min_hashes(s: np.ndarray, family: tuple[int, int]) -> list[int]:
     """The family's keys of a shingle sequence."""
     count, size = family
-    n = len(s)
-    labelled = s
-    order = np.argsort(s, kind="stable")
-    again = s[order][1:] == s[order][:-1]
-    if again.any():
-        run = np.arange(n) - np.maximum.accumulate(np.where(np.concatenate([[True], ~again]), np.arange(n), 0))
-        occurrence = np.empty(n, np.uint64)
-        occurrence[order] = run
-        labelled = _mix(s + occurrence * _ODD)
+    n, marked = len(s), labelled(s)
     size, out = min(size, n), []
     step = max(1, _BYTES // (8 * n))
+    # a hash's low bits make room for the position, so selecting values selects places
+    bits = np.uint64(max(20, n.bit_length()))
+    places = np.arange(n, dtype=np.uint64)
     for at in range(0, count, step):
         seeds = _FAMILIES[family][at : at + step]
-        x = (labelled[None, :] ^ seeds[:, None]) * _ODD
+        x = (marked[None, :] ^ seeds[:, None]) * _ODD
         x ^= x >> np.uint64(29)
         x *= np.uint64(0xD6E8FEB86659FD93)
-        chosen = np.argpartition(x, size - 1, axis=1)[:, :size] if size < n else np.broadcast_to(np.arange(n), x.shape)
-        kept = s[np.sort(chosen, axis=1)]
-        key = seeds + np.uint64(n if n < 4 else 0)
-        for j in range(size):
-            key = _mix(key ^ kept[:, j]) + np.uint64(j)
-        out += key.view(np.int64).tolist()
+        x >>= bits
+        x <<= bits
+        x |= places
+        if size < n:
+            x = np.partition(x, size - 1, axis=1)[:, :size]
+        chosen = np.sort(x & ((np.uint64(1) << bits) - np.uint64(1)), axis=1).astype(np.int64)
+        key = (s[chosen] * _PLACES[:size]).sum(axis=1, dtype=np.uint64)
+        out += _mix(key ^ (seeds + np.uint64(n if n < 4 else 0))).view(np.int64).tolist()
     return out
 
 
@@ -203,6 +217,11 @@ def _similar(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]
         yield pa.array(out, type=pa.bool_())
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _marked(texts: pa.Array) -> pa.Array:
+    return pa.array([labelled(shingles(words_of(t.as_py()))).view(np.int64).tolist() for t in texts], type=pa.list_(pa.int64()))
+
+
 def node_of(text: Column) -> Column:
     """16 bytes that stand for a text; null for null."""
     return F.unhex(F.md5(text.cast("binary")))
@@ -230,6 +249,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _prefix_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of different roots that can be similar: an exact join by rare shingles.
+
+    members: (node, n, root). With all shingles ordered by how many members have them, texts of A and
+    B shingles with C = ceil(4 (A + B) / 9) in common share one among the first A - C + 1 of the one
+    and the first B - C + 1 of the other. Shingles that a large group has in common come last.
+    """
+    each = durable(members.join(texts, "node").select("node", "n", "root", F.explode(_marked("text")).alias("s")))
+    ranked = each.join(each.groupBy("s").agg(F.count("*").alias("df")), "s").groupBy("node", "n", "root").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
+    first = durable(ranked.select("node", "n", "root", F.posexplode(F.expr("slice(all, 1, n - ceil(0.8D * n - 1e-9D) + 1)")).alias("at", "x")).where("x.df > 1").select("node", "n", "root", "at", F.col("x.s").alias("s")))
+    left, right = (first.select("s", *[F.col(c).alias(c + side) for c in ("node", "n", "root", "at")]) for side in "ab")
+    common = "ceil(4 * (na + nb) / 9D - 1e-9D)"
+    fits = F.expr(f"nodea < nodeb and roota != rootb and ata <= na - {common} and atb <= nb - {common}")
+    return left.join(right, "s").where(fits & _sizes_fit("na", "nb")).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+
+
 def _sizes_fit(a: str, b: str) -> Column:
     return 9 * F.least(a, b) >= 4 * (F.col(a) + F.col(b))
 
@@ -240,9 +275,12 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     rows = durable(docs.select(F.col(key).alias("id"), node_of(t).alias("node"), _sketch(t).alias("s")))
     nodes = durable(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.any_value("s").alias("s")))
     bands = nodes.where("s.n > 0").select("node", F.col("s.n").alias("n"), F.explode("s.keys").alias("bucket"))
-    buckets = bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
-    shared = durable(bands.join(buckets, "bucket").select("bucket", "node", "n", "low", "high"))
-    lead = shared.select(F.explode(F.array("low", "high")).alias("a"), F.col("node").alias("b")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    buckets = bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    shared = durable(bands.join(buckets, "bucket").select("bucket", "node", "n", "members"))
+    # the leader is who shares most: the centre of a group, so that buckets agree on it
+    weight = shared.groupBy("node").agg(F.sum("members").alias("weight"))
+    leaders = shared.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("l")).select("bucket", F.col("l.node").alias("lead"))
+    lead = shared.join(leaders, "bucket").where("node != lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     sizes = nodes.select("node", F.col("s.n").alias("n"))
     lead = lead.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").where(_sizes_fit("na", "nb"))
     lead = durable(lead.select("a", "b"))
@@ -251,14 +289,18 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     texts = source.join(wanted, "node").where(F.col("id").eqNullSafe(F.col("first"))).groupBy("node").agg(F.any_value("text").alias("text"))
     links = _tested(lead, texts)
     roots = components(links)
-    # members of different components that share a bucket: all pairs that were not yet tested
+    # members of different components that share a bucket were not tested with each other yet
     placed = shared.select("bucket", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
-    placed = durable(placed.join(mixed, "bucket", "left_semi"))
-    left = placed.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = placed.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sizes_fit("na", "nb")).select("a", "b").distinct().join(lead, ["a", "b"], "left_anti")
-    rest = durable(rest)
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).where("r0 != r1").select("bucket", "members")
+    placed = durable(placed.join(mixed, "bucket"))
+    many = durable(placed.where(F.col("members") > PAIRWISE).select("node", "n", "root").distinct())
+    # the prefix join finds all pairs of these, so small buckets are left with pairs of which one is not among them
+    few = placed.where(F.col("members") <= PAIRWISE).join(many.select("node", F.lit(True).alias("in_many")), "node", "left")
+    left, right = (few.select("bucket", *[F.col(c).alias(c + side) for c in ("node", "n", "root", "in_many")]) for side in "ab")
+    rest = left.join(right, "bucket").where(F.expr("nodea < nodeb and roota != rootb and not coalesce(in_manya and in_manyb, false)") & _sizes_fit("na", "nb")).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
+    if many.head(1):
+        rest = rest.unionByName(_prefix_pairs(many, texts))
+    rest = durable(rest.distinct().join(lead, ["a", "b"], "left_anti"))
     if rest.head(1):
         more = _tested(rest, texts)
         roots = components(links.unionByName(more))

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -91,6 +92,27 @@ def test_classes_equal_brute_force(spark):
     assert all(k == min(g) for k, g in got.items())
 
 
+@pytest.mark.parametrize("pairwise", [0, 3])
+def test_prefix_join_loses_no_link(spark, monkeypatch, pairwise):
+    monkeypatch.setattr(d, "PAIRWISE", pairwise)
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(60):
+        copy = list(base)
+        for _ in range(r.randint(0, 9)):
+            copy[r.randrange(len(copy))] = f"x{r.randrange(3000)}"
+        if k % 7 == 0:
+            del copy[: r.randint(1, 8)]
+        rows.append((k, " ".join(copy)))
+    # twins of edited copies: their partners share rare shingles only
+    rows += [(100 + k, t + " tail") for k, t in rows[:20]] + [(200, "a b " * 90), (201, "a b " * 85 + "c")]
+    got = {}
+    for x in d.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(x.class_id, []).append(x.doc_id)
+    assert sorted(sorted(g) for g in got.values()) == brute(rows)
+
+
 def test_one_of_each_and_repeats(spark):
     text = " ".join(map(str, range(100)))
     rows = [(1, text, "a"), (1, text, "a"), (2, text + " x", "b"), (3, None, "c"), (3, None, "c"), (4, "other", "d"), (None, "other", "e")]
