@@ -38,12 +38,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanewise.llm.common import durable, free_name, load
+from lanewise.llm.common import durable, free_name, load, small_batches
 
 WORDS = 5
 LONG, SHORT = (24, 6), (24, 4)
 SHORT_ONLY, LONG_ONLY = 63, 80
-_MEMO = 500_000
+_MEMO = 100_000
 
 _SKETCH = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -96,7 +96,7 @@ def _seeds(count: int, salt: int) -> np.ndarray:
 
 
 _FAMILIES = {f: _seeds(f[0], 1000 * f[1]) for f in (LONG, SHORT)}
-_BYTES = 1 << 25
+_BYTES = 1 << 22
 _PLACES = _mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 #: Up to so many members, a bucket's unlinked members are tested pairwise.
 PAIRWISE = 8
@@ -271,6 +271,11 @@ def _sizes_fit(a: str, b: str) -> Column:
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, node, class_id, head) of every row; head: whether the row has its class's id and text."""
+    with small_batches(docs.sparkSession):
+        return _classes(docs, key, text)
+
+
+def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     t = F.col(text).cast("string")
     rows = durable(docs.select(F.col(key).alias("id"), node_of(t).alias("node"), _sketch(t).alias("s")))
     nodes = durable(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.any_value("s").alias("s")))
