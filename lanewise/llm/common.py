@@ -39,24 +39,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read back; survives lost executors."""
+    """df, written to the shared checkpoint folder and read back; survives lost executors.
+
+    Its shuffle files go as soon as the copy is whole, so a loop of cuts holds one round's files at a time.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        return df.select("*").checkpoint(eager=True)
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of at most so many rows for the jobs that run inside, so that long texts fit a worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for what runs inside."""
     before = spark.conf.get(name)
-    if int(before) <= 0 or int(before) > rows:
-        spark.conf.set(name, str(rows))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most so many rows for the jobs that run inside, so that long texts fit a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    with setting(spark, name, str(rows if before <= 0 else min(before, rows))):
+        yield
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table below the shared folder: columnar, so later passes read only what they use."""
     spark = df.sparkSession
@@ -65,6 +76,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a table that written() made."""
+    jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not use (Spark compares names without case)."""
     used = {c.lower() for c in df.columns}

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanewise.llm.common import durable, free_name, load, small_batches
+from lanewise.llm.common import discard, durable, free_name, load, small_batches, written
 
 WORDS = 5
 LONG, SHORT = (24, 6), (24, 4)
@@ -100,6 +100,8 @@ _BYTES = 1 << 22
 _PLACES = _mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 #: Up to so many members, a bucket's unlinked members are tested pairwise.
 PAIRWISE = 8
+#: Up to so many edges between components are joined in one task.
+SMALL = 200_000
 
 
 def labelled(s: np.ndarray) -> np.ndarray:
@@ -228,25 +230,71 @@ def node_of(text: Column) -> Column:
 
 
 def _tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar. texts: (node, text), a row a node."""
-    right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
-    both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
+    """The pairs (a, b) whose texts are similar. texts: (node, text), a row a node at least."""
+    one = texts.groupBy("node").agg(F.any_value("text").alias("text"))
+    right = pairs.join(one.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+    both = right.join(one.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
     return durable(both.where(_similar("left", "right")).select("a", "b"))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every linked node: root is the component's smallest node."""
-    both = durable(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = durable(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all edges (a, b) of the task: (node, root), root the smallest node."""
+    up: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        top = x
+        while (above := up.setdefault(top, top)) != top:
+            top = above
+        while up[x] != top:
+            up[x], x = top, up[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            low, high = sorted((root(a), root(b)))
+            up[high] = low
+    if up:
+        yield pa.RecordBatch.from_pydict({"node": pa.array(list(up), pa.binary()), "root": pa.array([root(x) for x in up], pa.binary())})
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, root) of a round of hooking, the edges left between roots).
+
+    Each node hooks to its smallest neighbour. The only cycles are of two nodes, whose smaller one
+    is the root, so at most half of the nodes are roots. Pointers are then doubled to the roots.
+    """
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hook = durable(both.groupBy("a").agg(F.min("b").alias("up")).withColumnRenamed("a", "node"))
+    first = True
     while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        hooked = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "near").alias("to"), "root")
-        # the label's own label: paths halve each round
-        jump = labels.select(F.col("node").alias("to"), F.col("root").alias("far"))
-        after = durable(hooked.join(jump, "to", "left").select("node", F.least("to", F.coalesce("far", "to")).alias("root"), (F.col("root") != F.least("to", F.coalesce("far", "to"))).alias("moved")))
-        labels = after.select("node", "root")
-        if not after.where("moved").head(1):
-            return labels
+        above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        cycle = F.col("top") == F.col("node")
+        to = F.when(cycle, F.least("node", "up")).otherwise(F.col("up" if first else "top"))
+        step = durable(hook.join(above, "up").select("node", to.alias("to"), (to != F.col("up")).alias("moved")))
+        hook = step.select("node", F.col("to").alias("up"))
+        if not first and not step.where("moved").head(1):
+            break
+        first = False
+    roots = hook.withColumnRenamed("up", "root")
+    for side in "ab":
+        edges = edges.join(roots.select(F.col("node").alias(side), "root"), side).drop(side).withColumnRenamed("root", side)
+    return roots, durable(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def components(links: DataFrame, *, small: int = SMALL) -> DataFrame:
+    """(node, root) of every linked node; root is one of the component's nodes.
+
+    Rounds of contraction, each at least halving the nodes, until at most ``small`` edges are left;
+    one task then ends the work, of a size that does not depend on the input.
+    """
+    edges, layers = links.select("a", "b"), []
+    while edges.count() > small:
+        roots, edges = _contracted(edges)
+        layers.append(roots)
+    found = durable(edges.coalesce(1).mapInArrow(_rooted, "node binary, root binary"))
+    for roots in reversed(layers):
+        found = durable(roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+    return found
 
 
 def _prefix_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -256,7 +304,8 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     B shingles with C = ceil(4 (A + B) / 9) in common share one among the first A - C + 1 of the one
     and the first B - C + 1 of the other. Shingles that a large group has in common come last.
     """
-    each = durable(members.join(texts, "node").select("node", "n", "root", F.explode(_marked("text")).alias("s")))
+    one = texts.groupBy("node").agg(F.any_value("text").alias("text"))
+    each = durable(members.join(one, "node").select("node", "n", "root", F.explode(_marked("text")).alias("s")))
     ranked = each.join(each.groupBy("s").agg(F.count("*").alias("df")), "s").groupBy("node", "n", "root").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
     first = durable(ranked.select("node", "n", "root", F.posexplode(F.expr("slice(all, 1, n - ceil(0.8D * n - 1e-9D) + 1)")).alias("at", "x")).where("x.df > 1").select("node", "n", "root", "at", F.col("x.s").alias("s")))
     left, right = (first.select("s", *[F.col(c).alias(c + side) for c in ("node", "n", "root", "at")]) for side in "ab")
@@ -275,43 +324,51 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
         return _classes(docs, key, text)
 
 
+def _pairs_of(members: Column) -> Column:
+    """All (a, b) of an array of at most PAIRWISE struct(node, n, root) that are in different components and of fitting size."""
+    other = F.transform(members, lambda x: F.transform(F.filter(members, lambda y: (x["node"] < y["node"]) & (x["root"] != y["root"]) & (9 * F.least(x["n"], y["n"]) >= 4 * (x["n"] + y["n"]))), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))))
+    return F.flatten(other)
+
+
 def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     t = F.col(text).cast("string")
     rows = durable(docs.select(F.col(key).alias("id"), node_of(t).alias("node"), _sketch(t).alias("s")))
     nodes = durable(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.any_value("s").alias("s")))
-    bands = nodes.where("s.n > 0").select("node", F.col("s.n").alias("n"), F.explode("s.keys").alias("bucket"))
+    bands = nodes.where("s.n > 0").select("node", "first", F.col("s.n").alias("n"), F.explode("s.keys").alias("bucket"))
     buckets = bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    shared = durable(bands.join(buckets, "bucket").select("bucket", "node", "n", "members"))
+    # a row a node that shares a bucket; at most 48 buckets each
+    shared = durable(bands.join(buckets, "bucket").groupBy("node", "first", "n").agg(F.collect_list(F.struct("bucket", "members")).alias("at"), F.sum("members").alias("weight")))
     # the leader is who shares most: the centre of a group, so that buckets agree on it
-    weight = shared.groupBy("node").agg(F.sum("members").alias("weight"))
-    leaders = shared.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("l")).select("bucket", F.col("l.node").alias("lead"))
-    lead = shared.join(leaders, "bucket").where("node != lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    sizes = nodes.select("node", F.col("s.n").alias("n"))
-    lead = lead.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").where(_sizes_fit("na", "nb"))
-    lead = durable(lead.select("a", "b"))
-    wanted = shared.select("node").distinct().join(nodes.select("node", "first"), "node")
-    source = docs.select(F.col(key).alias("id"), t.alias("text")).withColumn("node", node_of(F.col("text"))).where("node is not null")
-    texts = source.join(wanted, "node").where(F.col("id").eqNullSafe(F.col("first"))).groupBy("node").agg(F.any_value("text").alias("text"))
-    links = _tested(lead, texts)
-    roots = components(links)
+    spread = shared.select("node", "n", "weight", F.explode("at.bucket").alias("bucket"))
+    leaders = spread.groupBy("bucket").agg(F.max(F.struct("weight", "node", "n")).alias("l")).select("bucket", F.col("l.node").alias("lead"), F.col("l.n").alias("m"))
+    lead = durable(spread.join(leaders, "bucket").where(F.expr("node != lead") & _sizes_fit("n", "m")).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
+    # id and text together are the key of this join, so copies of one text do not meet in one task
+    source = docs.select(F.col(key).alias("id"), t.alias("text"), node_of(t).alias("own")).where("own is not null")
+    wanted = shared.select("node", "first")
+    texts = written(source.join(wanted, F.col("id").eqNullSafe(F.col("first")) & (F.col("own") == F.col("node"))).select("node", "text"), "texts")
+    roots = components(_tested(lead, texts))
     # members of different components that share a bucket were not tested with each other yet
-    placed = shared.select("bucket", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).where("r0 != r1").select("bucket", "members")
-    placed = durable(placed.join(mixed, "bucket"))
-    many = durable(placed.where(F.col("members") > PAIRWISE).select("node", "n", "root").distinct())
-    # the prefix join finds all pairs of these, so small buckets are left with pairs of which one is not among them
-    few = placed.where(F.col("members") <= PAIRWISE).join(many.select("node", F.lit(True).alias("in_many")), "node", "left")
-    left, right = (few.select("bucket", *[F.col(c).alias(c + side) for c in ("node", "n", "root", "in_many")]) for side in "ab")
-    rest = left.join(right, "bucket").where(F.expr("nodea < nodeb and roota != rootb and not coalesce(in_manya and in_manyb, false)") & _sizes_fit("na", "nb")).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
+    placed = durable(shared.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.explode("at").alias("at")).select("node", "n", "root", "at.*"))
+    few = placed.where(F.col("members") <= PAIRWISE).groupBy("bucket").agg(F.collect_list(F.struct("node", "n", "root")).alias("of"))
+    rest = few.select(F.explode(_pairs_of(F.col("of"))).alias("p")).select("p.*")
+    large = placed.where(F.col("members") > PAIRWISE)
+    mixed = large.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
+    many = durable(large.join(mixed, "bucket").select("node", "n", "root").distinct())
     if many.head(1):
         rest = rest.unionByName(_prefix_pairs(many, texts))
     rest = durable(rest.distinct().join(lead, ["a", "b"], "left_anti"))
     if rest.head(1):
-        more = _tested(rest, texts)
-        roots = components(links.unionByName(more))
+        # only the components are left to be joined
+        links = _tested(rest, texts)
+        for side in "ab":
+            links = links.join(roots.select(F.col("node").alias(side), "root"), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+        joined = components(durable(links.where("a != b").distinct()))
+        own = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        roots = roots.unionByName(joined.join(roots, "node", "left_anti")).join(own, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("node"))).alias("h"))
     of = durable(named.join(heads, "root").select("node", F.col("h.first").alias("class_id"), (F.col("h.node") == F.col("node")).alias("has_head")))
+    discard(texts)
     known = rows.select("id", "node").join(of, "node", "left")
     alone = F.col("node").isNull()
     return known.select(

@@ -121,3 +121,27 @@ def test_one_of_each_and_repeats(spark):
     assert got.columns == docs.columns
     assert sorted((r.doc_id, r["__row"]) for r in got.collect()) == [(1, "a"), (3, "c"), (3, "c"), (4, "d")]
     assert d.one_of_each(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("small", [0, 5, 10_000])
+def test_components_by_contraction(spark, small):
+    r = random.Random(small)
+    name = lambda k: r2[k].to_bytes(4)
+    r2 = r.sample(range(1 << 20), 300)
+    pairs = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(70)]
+    pairs = [(a, b) for a, b in pairs if a != b]
+    edges = spark.createDataFrame([tuple(sorted((name(a), name(b)))) for a, b in pairs], "a binary, b binary")
+    group = {k: {k} for p in pairs for k in p}
+    for a, b in pairs:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for k in group[b]:
+                group[k] = group[a]
+    got = {}
+    for x in d.components(edges, small=small).collect():
+        assert got.setdefault(bytes(x.node), bytes(x.root)) == bytes(x.root)
+    assert set(got) == {name(k) for k in group}
+    for k, g in group.items():
+        assert got[name(k)] in {name(x) for x in g}
+        assert {got[name(x)] for x in g} == {got[name(k)]}
+    assert d.components(edges.limit(0), small=small).count() == 0
