@@ -205,7 +205,7 @@ def column_norms(spark, d):
 v AS (SELECT i, j, CAST(v AS DOUBLE) + ((i % 3) * 0.1::DOUBLE) * ((j % 5) * 0.2::DOUBLE) v FROM w), n AS (SELECT j, sqrt(sum(v * v)) n FROM v GROUP BY j)
 SELECT v.i, v.j, round(CASE WHEN n > 0 THEN v * m / n ELSE 0 END, 6) v FROM v JOIN n ON v.j = n.j JOIN m ON v.j = m.j""")
 def dora_effective_weight(spark, d):
-    rows = table(spark, d, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
     b = rows.select("i").distinct().select("i", F.lit(0).cast("long").alias("j"), ((F.col("i") % 3) * 0.1).alias("v"))
     a = spark.range(64).select(F.lit(0).cast("long").alias("i"), F.col("id").alias("j"), ((F.col("id") % 5) * 0.2).alias("v"))
     magnitude = numeric.column_norms(rows).withColumnRenamed("norm", "m")
