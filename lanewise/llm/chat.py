@@ -14,7 +14,8 @@ points over the assistant texts of the formatted string, and ``read_back`` rebui
 the trained text from the formatted string and its mask alone.
 
 Defined cases: null roles and texts are empty; rows that share a turn follow each other in role and
-text order, and none is lost; a node whose parent is absent is a root; a tree without a root (a pure
+text order, and none is lost; a null tree (a null conv_id) is one tree like any other, as GROUP BY
+has it; a node whose parent is absent is a root; a tree without a root (a pure
 cycle) has no path; clashing columns do not matter, as only the named ones are read; empty tables
 give no conversations.
 """
@@ -58,29 +59,35 @@ def chains(conversations: DataFrame) -> DataFrame:
     return rows.select("tree", at.alias("node"), "role", "text").select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def _joined(a: DataFrame, b: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """a with b on (tree, key), null trees being equal."""
+    other = b.withColumnsRenamed({"tree": "_tree", key: "_key"})
+    return a.join(other, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col(key) == F.col("_key")), how).drop("_tree", "_key")
+
+
 def paths(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, node, up) for every node on a root-to-leaf path; up: steps above the leaf."""
     edges = nodes.select("tree", "node", "parent").distinct()
     known = edges.select("tree", F.col("node").alias("parent")).distinct()
-    jumps = durable(edges.join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("above")))
-    leaves = edges.select("tree", "node").distinct().join(jumps.select("tree", F.col("above").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    jumps = durable(_joined(edges, known, "parent", "left_semi").select("tree", "node", F.col("parent").alias("above")))
+    leaves = _joined(edges.select("tree", "node").distinct(), jumps.select("tree", F.col("above").alias("node")).distinct(), "node", "left_anti")
     found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     step, most = 1, edges.count()
     while step <= most and jumps.head(1):
         up = jumps.withColumnRenamed("above", "next")
-        found = durable(found.unionByName(found.join(up, ["tree", "node"]).select("tree", "leaf", F.col("next").alias("node"), (F.col("up") + step).alias("up"))))
-        jumps = durable(jumps.alias("a").join(jumps.select("tree", F.col("node").alias("above"), F.col("above").alias("top")), ["tree", "above"]).select("tree", "node", F.col("top").alias("above")))
+        found = durable(found.unionByName(_joined(found, up, "node").select("tree", "leaf", F.col("next").alias("node"), (F.col("up") + step).alias("up"))))
+        jumps = durable(_joined(jumps, jumps.select("tree", F.col("node").alias("above"), F.col("above").alias("top")), "above").select("tree", "node", F.col("top").alias("above")))
         step *= 2
     return found
 
 
 def best_paths(nodes: DataFrame, *, keep: int = 1) -> DataFrame:
     """The nodes of the ``keep`` best branches of each tree, with leaf, up and rank."""
-    along = paths(nodes).join(nodes, ["tree", "node"])
+    along = _joined(paths(nodes), nodes, "node")
     branches = along.groupBy("tree", "leaf").agg(F.avg("score").alias("mean"), F.count("*").alias("size"))
     order = Window.partitionBy("tree").orderBy(F.desc("mean"), F.desc("size"), "leaf")
     chosen = branches.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).select("tree", "leaf", "rank")
-    return along.join(chosen, ["tree", "leaf"])
+    return _joined(along, chosen, "leaf")
 
 
 def format_paths(along: DataFrame, *, trained: str = "assistant") -> DataFrame:

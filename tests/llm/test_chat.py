@@ -39,3 +39,19 @@ def test_long_chain_nulls_and_repeats(spark):
     assert got[1] == [("user", f"t{k}") for k in range(70)]
     assert got[2] == [("assistant", "x"), ("", ""), ("", "")]
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_null_conversation(spark, tmp_path):
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", "a"), (None, 2, "user", None), (4, 0, "user", "other")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.read_back(chat.format_conversations(frame)).collect()}
+    assert got == {None: [("user", "q"), ("assistant", "a"), ("user", "")], 4: [("user", "other")]}
+    frame.write.parquet(str(tmp_path / "conversations.parquet"))
+    assert {(r.conv_id, r.n_turns, r.loss_chars) for r in chat.op6_chat(spark, str(tmp_path)).collect()} == {(None, 3, 1), (4, 1, 0), (-7, 2, len(chat._PLANTED))}
+
+
+def test_null_tree_ranks_branches(spark):
+    nodes = [(None, 1, None, "user", "q", 1.0), (None, 2, 1, "assistant", "a", 0.5), (None, 3, 1, "assistant", "b", 0.4), (None, 4, 3, "user", "c", 0.9), (0, 1, None, "user", "q", 1.0)]
+    nodes = spark.createDataFrame(nodes, "tree long, node long, parent long, role string, text string, score double")
+    best = {(r.tree, r.rank, r.leaf, r.node, r.up) for r in chat.best_paths(nodes, keep=2).collect()}
+    assert best == {(None, 1, 4, 4, 0), (None, 1, 4, 3, 1), (None, 1, 4, 1, 2), (None, 2, 2, 2, 0), (None, 2, 2, 1, 1), (0, 1, 1, 1, 0)}
