@@ -46,8 +46,7 @@ def bpe_merge_step_1(spark, d):
 
 @query()
 def bpe_train(spark, d):
-    merges = tk.train_bpe(table(spark, d, "documents"), 12)
-    return spark.createDataFrame([(k, a, b, n) for k, (a, b, n) in enumerate(merges)], "rank int, a string, b string, n long")
+    return tk.bpe_merges(table(spark, d, "documents"), vocab=16_384)
 
 
 @query("SELECT doc_id, CAST(octet_length(encode(text)) + 2 AS BIGINT) n_tokens, CAST(sum(octet_length(encode(text)) + 2) OVER (ORDER BY doc_id) - octet_length(encode(text)) - 2 AS BIGINT) \"offset\" FROM documents")
