@@ -12,20 +12,25 @@ end of the buffer is stable: ``PieceTransducer.push`` emits it and forgets its s
 is bounded by the lookahead and not by the piece. Since the tokens after an emitted one are
 the encoding of the symbols after it, the emitted sequence is that of the whole piece.
 
-Decoding is a state machine as well: ``TextDecoder.push`` takes one id, keeps at most an incomplete
-UTF-8 sequence (3 bytes), and returns text as soon as it is complete. ``Bpe.decode`` gives what the
-library gives for a file without a decoder: the token strings joined by spaces.
+A text goes through in stretches of about ``STRETCH`` code points, each cut before a white-space
+character, which neither normalisation nor a piece reaches across. Every piece is pushed through the
+transducer; a bounded memo of frequent pieces is only a cache of what came out of it. Packed ids leave a
+stretch at a time, so beside the given text a task holds one stretch (a longer one where no white space comes).
 
-A bounded memo maps frequent pieces to their ids; it is only a cache of the transducer.
+Decoding is a state machine as well. ``SpelledDecoder.push`` takes packed ids as bytes, cut anywhere, keeps at
+most three bytes of an incomplete id, and gives what the library's decode gives for a file without a decoder: token
+strings joined by spaces. ``TextDecoder.push`` takes one id, keeps at most an incomplete UTF-8 sequence (3
+bytes), and gives plain text as soon as it is complete.
 
 Defined cases: null and empty texts have no ids and decode to the empty string; special strings in
-a text are special tokens, as in the library; repeated rows are encoded one by one; an existing
-column named like ``out`` is replaced.
+a text are special tokens, as in the library; very long texts, with or without white space, take linear time;
+repeated rows are encoded one by one; an existing column named like ``out`` is replaced; others stay.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import struct
@@ -42,6 +47,10 @@ from lanewise.llm.common import load
 
 #: Pieces that a worker remembers, and the longest piece it remembers.
 MEMO, MEMO_PIECE = 400_000, 64
+#: Code points that are normalised and split at a time.
+STRETCH = 1 << 16
+#: From so many symbols on, merging uses a heap.
+HEAPED = 64
 
 
 def byte_symbols() -> list[str]:
@@ -52,7 +61,6 @@ def byte_symbols() -> list[str]:
 
 
 SYMBOLS = byte_symbols()
-_LATIN = dict(enumerate(SYMBOLS))
 
 
 def sufficient_lookahead(merges: list[tuple[str, str]], length) -> int:
@@ -114,7 +122,8 @@ class Bpe:
         self.lookahead = sufficient_lookahead(merges, self.length)
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces, self.latin_pieces = (re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^{_WHITE}{letters}{numbers}]+") for letters, numbers in ((_category(m, end) for m in "LN") for end in (sys.maxunicode, 0x24F)))
-        self.memo: dict[str, tuple[bytes, str]] = {}
+        self.transducer = PieceTransducer(self)
+        self.memo: dict[str, bytes] = {}
         self.older = self.memo
 
     def length(self, token: str) -> int:
@@ -122,6 +131,8 @@ class Bpe:
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Lowest rank first, leftmost first among equals."""
+        if len(symbols) >= HEAPED:
+            return self._merged_by_heap(symbols)
         word, rank, none = list(symbols), self.ranks.get, sys.maxsize
         ranks = [rank(pair, none) for pair in zip(word, word[1:], strict=False)]
         while ranks:
@@ -137,47 +148,100 @@ class Bpe:
                 ranks[k] = rank((word[k], word[k + 1]), none)
         return word
 
+    def _merged_by_heap(self, symbols: list[str]) -> list[str]:
+        """merged() in n log n: a linked list of tokens and a heap of (rank, place), stale entries skipped."""
+        word: list[str | None] = list(symbols)
+        n, rank = len(word), self.ranks.get
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        heap = [(r, k) for k in range(n - 1) if (r := rank((word[k], word[k + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, k = heapq.heappop(heap)
+            j = after[k]
+            if word[k] is None or j >= n or rank((word[k], word[j])) != r:
+                continue
+            word[k], word[j] = word[k] + word[j], None
+            after[k] = after[j]
+            if after[k] < n:
+                before[after[k]] = k
+            for left in (before[k], k):
+                if left >= 0 and after[left] < n and (r := rank((word[left], word[after[left]]))) is not None:
+                    heapq.heappush(heap, (r, left))
+        return [t for t in word if t is not None]
+
     def piece(self, text: str) -> list[int]:
-        if len(text) < self.lookahead:  # the buffer would hold it whole
-            symbols = list(text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(_LATIN))
-            symbols[-1] += self.suffix
-            return [self.vocab[t] for t in self.merged(symbols)]
-        stream, ids = PieceTransducer(self), []
-        for at in range(0, len(text), self.lookahead):
-            ids += stream.push([SYMBOLS[b] for b in text[at : at + self.lookahead].encode()])
+        """The ids of one piece: all its symbols pass the transducer."""
+        stream, step, ids = self.transducer, self.lookahead, []
+        for at in range(0, len(text), step):
+            part = text[at : at + step]
+            ids += stream.push([*part] if part.isascii() and part.isprintable() else [SYMBOLS[b] for b in part.encode()])
         return ids + stream.finish()
 
-    def known(self, piece: str) -> tuple[bytes, str]:
-        """(ids as little-endian unsigned 32-bit integers, token strings joined)."""
+    def known(self, piece: str) -> bytes:
+        """The ids of a piece as little-endian unsigned 32-bit integers."""
         found = self.older.get(piece)
         if found is None:
-            ids = self.piece(piece)
-            found = (packed(ids), self.decode(ids))
+            found = packed(self.piece(piece))
         if len(piece) <= MEMO_PIECE:
             if len(self.memo) >= MEMO // 2:
                 self.older, self.memo = self.memo, {}
             self.memo[piece] = found
         return found
 
-    def parts(self, text: str) -> list[tuple[bytes, str]]:
-        """What known() has of each piece and special token."""
-        out: list[tuple[bytes, str]] = []
-        for k, part in enumerate(self.added.split(text) if self.added else [text]):
-            if k & 1:
-                out.append((packed([self.special[part]]), part))
-            elif part:
-                part = normalised(part)
-                split = self.pieces if _BEYOND_LATIN.search(part) else self.latin_pieces
-                memo, known = self.memo.get, self.known
-                out += [memo(p) or known(p) for p in split.findall(part)]
-        return out
+    def stream(self, text: str) -> Iterator[bytes]:
+        """The packed ids of a text, a stretch or a special token at a time."""
+        at = 0
+        for m in self.added.finditer(text) if self.added else ():
+            yield from self._plain(text, at, m.start())
+            yield packed([self.special[m[0]]])
+            at = m.end()
+        yield from self._plain(text, at, len(text))
+
+    def _plain(self, text: str, start: int, end: int) -> Iterator[bytes]:
+        for part in stretches(text, start, end):
+            part = normalised(part)
+            split = self.pieces if _BEYOND_LATIN.search(part) else self.latin_pieces
+            memo, known = self.memo.get, self.known
+            yield b"".join([memo(p) or known(p) for p in split.findall(part)])
 
     def encode(self, text: str) -> list[int]:
-        data = b"".join(ids for ids, _ in self.parts(text))
+        data = b"".join(self.stream(text))
         return [*struct.unpack(f"<{len(data) // 4}I", data)]
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join(map(self.names.__getitem__, ids))
+        return SpelledDecoder(self).push(packed(ids))
+
+
+def stretches(text: str, start: int, end: int) -> Iterator[str]:
+    """text[start:end] in parts of about STRETCH, each but the first starting with a space or newline."""
+    while end - start > STRETCH:
+        cut = max(text.rfind(c, start + 1, start + STRETCH) for c in " \n")
+        if cut < 0:
+            later = [at for c in " \n" if (at := text.find(c, start + STRETCH, end)) >= 0]
+            if not later:
+                break
+            cut = min(later)
+        yield text[start:cut]
+        start = cut
+    if start < end:
+        yield text[start:end]
+
+
+class SpelledDecoder:
+    """Packed ids as bytes, cut anywhere, to the library's text: token strings with a space between."""
+
+    def __init__(self, bpe: Bpe) -> None:
+        self.names, self.rest, self.gap = bpe.names, b"", ""
+
+    def push(self, data: bytes) -> str:
+        data = self.rest + data if self.rest else data
+        n = len(data) // 4
+        self.rest = data[4 * n :]
+        if not n:
+            return ""
+        text = self.gap + " ".join(map(self.names.__getitem__, struct.unpack_from(f"<{n}I", data)))
+        self.gap = " "
+        return text
 
 
 class TextDecoder:
@@ -272,8 +336,7 @@ def _encoder(held):
         for texts in batches:
             rows = []
             for text in texts:
-                parts = bpe.parts(text.as_py() or "")
-                ids = b"".join([p[0] for p in parts])
+                ids = b"".join(bpe.stream(text.as_py() or ""))
                 rows.append({"n_tokens": len(ids) // 4, "ids": ids})
             yield pa.array(rows, type=pa.struct([("n_tokens", pa.int64()), ("ids", pa.binary())]))
 
@@ -287,11 +350,14 @@ def _digester(held):
         for texts in batches:
             counts, ids_out, decoded_out = [], [], []
             for text in texts:
-                parts = bpe.parts(text.as_py() or "")
-                ids = b"".join([p[0] for p in parts])
-                counts.append(len(ids) // 4)
-                ids_out.append(hashlib.sha256(ids).hexdigest())
-                decoded_out.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
+                n, ids, decoded, decoder = 0, hashlib.sha256(), hashlib.sha256(), SpelledDecoder(bpe)
+                for data in bpe.stream(text.as_py() or ""):
+                    n += len(data) // 4
+                    ids.update(data)
+                    decoded.update(decoder.push(data).encode())
+                counts.append(n)
+                ids_out.append(ids.hexdigest())
+                decoded_out.append(decoded.hexdigest())
             yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids_out, pa.string()), pa.array(decoded_out, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digest

@@ -46,6 +46,61 @@ def test_streaming_long_runs(own, library):
         assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_every_symbol_passes_the_transducer(own, monkeypatch):
+    pushed, peak, push = [], [0], bpe.PieceTransducer.push
+
+    def counted(self, symbols):
+        pushed.extend(symbols)
+        out = push(self, symbols)
+        peak[0] = max(peak[0], len(self.buffer))
+        return out
+
+    monkeypatch.setattr(bpe.PieceTransducer, "push", counted)
+    monkeypatch.setattr(own, "memo", {})
+    monkeypatch.setattr(own, "older", {})
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghé漢") for _ in range(r.randint(1, 12))) + str(k) for k in range(5_000)]
+    text = " ".join([*words, "".join(r.choice("ab") for _ in range(30_000))])
+    ids = [*own.stream(text)]
+    pieces = [p for part in bpe.stretches(text, 0, len(text)) for p in own.pieces.findall(bpe.normalised(part))]
+    assert len(pushed) == sum(len(p.encode()) for p in dict.fromkeys(pieces))  # a repeated piece comes from the cache
+    assert peak[0] < 5 * own.lookahead and len(ids) > 1  # ids leave before the text has ended
+
+
+def test_megabytes_in_stretches(own, library):
+    r = random.Random(9)
+    words = [r.choice(["the", "é", "a\u0301", "12", "it's", "<|endoftext|>", "Σας", "==", "漢字"]) for _ in range(250_000)]
+    text = "".join(w + r.choice(" \n\t ") for w in words)
+    assert max(map(len, bpe.stretches(text, 0, len(text)))) <= bpe.STRETCH
+    assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+    for solid in ("ab" * 500_000, "=" * 1_000_000):
+        assert own.encode(solid) == library.encode(solid, add_special_tokens=False).ids
+
+
+def test_spelled_decoder_takes_bytes_cut_anywhere(own, library):
+    ids = library.encode("héllo 漢字 it's 🙂 <|endoftext|>ok " * 20, add_special_tokens=False).ids
+    data, r = struct.pack(f"<{len(ids)}I", *ids), random.Random(10)
+    for most in (1, 3, 7, 1000):
+        state, at, out = bpe.SpelledDecoder(own), 0, ""
+        while at < len(data):
+            n = r.randint(1, most)
+            out += state.push(data[at : at + n])
+            assert len(state.rest) < 4
+            at += n
+        assert out == library.decode(ids, skip_special_tokens=False)
+
+
+def test_heap_and_scan_merge_alike(own):
+    r = random.Random(11)
+    for n in (64, 200, 700):
+        symbols = [r.choice("eaingthors") for _ in range(n)]
+        by_heap, by_scan = own._merged_by_heap(symbols), [*symbols]
+        while pairs := [(own.ranks[p], k) for k, p in enumerate(zip(by_scan, by_scan[1:], strict=False)) if p in own.ranks]:
+            k = min(pairs)[1]
+            by_scan[k : k + 2] = [by_scan[k] + by_scan[k + 1]]
+        assert by_heap == by_scan
+
+
 def test_lookahead_bounds_what_can_change(own):
     r = random.Random(6)
     stream, symbols, out, most = bpe.PieceTransducer(own), [r.choice("eaingthors") for _ in range(12_000)], [], 0
