@@ -11,19 +11,27 @@ of more than 80 shingles have 24 keys of l = 6, texts below 64 have 24 of l = 4,
 both, so any two texts that can be linked share a family. A pair at exactly 0.8 shares a key with
 probability 0.99 to 0.999; the miss falls below 1e-5 at 0.9. No bucket is capped.
 
-Linking without all pairs. Each bucket first tests its members only against its leader (the member whose
-buckets are largest, so that buckets agree on it), and a bucket of n costs n tests. Members of one component need no further test, as
-more links could not change a class. Members of different components that still share a bucket are
-tested pairwise in buckets of at most ``PAIRWISE`` members; those of larger buckets go through an
-exact prefix join on their rarest shingles, which finds every pair that can reach 0.8 while what a large
-group has in common takes no part. No link that matters to a class is lost.
+Linking without all pairs, by one rule for buckets of every size. Each bucket first tests its members only
+against its leader (the member whose buckets are largest, so that buckets agree on it). Members of one
+component need no further test, as more links could not change a class. Buckets that still hold several
+components test the members outside their largest component against one member of it, which differs by
+bucket; a bucket of n costs n tests in either round. All members of buckets that hold several components
+after that meet in an exact prefix join on their rarest shingles, which finds every pair that can reach
+0.8. A component never meets itself in it: for each shingle, members outside the component that has it
+most often meet the others, so a group of N with one outlier makes N rows. Shingles that only
+one component has take no part. No link that matters to a class is lost.
+
+Tests put the text of the endpoint with many pairs (a leader) under several keys, ``CHUNK`` pairs each, so no task
+holds all pairs of a large group.
 
 Alignment is a bit-parallel LCS in a band: similarity 0.8 allows at most (A + B) / 9 insertions and
-deletions, so cells further from the diagonals cannot matter and the decision is exact.
+deletions, so cells further from the diagonals cannot matter and the decision is exact. Only positions inside
+the band become bits, so a pair of n words takes memory in proportion to n and n^2 / 64 bit operations at most.
 
 Defined cases: a null text is a class of its own with class_id = its id; texts without words are
 linked to equal texts only; repeated rows and ids are fine (an id per row is returned); a class's id
-is its smallest non-null document id; empty tables give no rows.
+is its smallest non-null document id; very long texts are sketched and aligned whole; ties between leaders
+go by id; other columns, whatever their names, are not read; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -98,8 +106,10 @@ def _seeds(count: int, salt: int) -> np.ndarray:
 _FAMILIES = {f: _seeds(f[0], 1000 * f[1]) for f in (LONG, SHORT)}
 _BYTES = 1 << 22
 _PLACES = _mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
-#: Up to so many members, a bucket's unlinked members are tested pairwise.
-PAIRWISE = 8
+#: Pairs and join rows that one key of a hot text or shingle serves.
+CHUNK = 256
+#: From so many positions on, a shingle's places are held as a bit set of their own.
+DENSE = 64
 #: Up to so many edges between components are joined in one task.
 SMALL = 200_000
 
@@ -181,9 +191,10 @@ def band_lcs(a: list[int], b: list[int], apart: int) -> int:
     na, nb = len(a), len(b)
     if not na or not nb:
         return 0
-    where: dict[int, int] = {}
+    where: dict[int, list[int]] = {}
     for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << i
+        where.setdefault(x, []).append(i)
+    dense: dict[int, list[int]] = {}  # of frequent shingles: bits from a start on, that start, positions taken in
     shift = na - nb
     first, last = -((apart - shift) // 2), (apart + shift) // 2
     start = end = zeros = 0
@@ -198,10 +209,24 @@ def band_lcs(a: list[int], b: list[int], apart: int) -> int:
         if e > end:
             row |= ((1 << (e - end)) - 1) << (end - start)
             end = e
-        if hits := where.get(y, 0):
-            u = row & (hits >> start)
-            if u:
-                row = ((row + u) | (row - u)) & ((1 << (end - start)) - 1)
+        places = where.get(y)
+        if not places:
+            continue
+        if len(places) < DENSE:
+            hits = 0
+            for p in places:
+                if start <= p < end:
+                    hits |= 1 << (p - start)
+        else:
+            held = dense.setdefault(y, [0, 0, 0])
+            hits, n = held[0] >> (start - held[1]), held[2]
+            while n < len(places) and places[n] < end:
+                if places[n] >= start:
+                    hits |= 1 << (places[n] - start)
+                n += 1
+            held[:] = hits, start, n
+        if u := row & hits:
+            row = ((row + u) | (row - u)) & ((1 << (end - start)) - 1)
     return zeros + (end - start) - row.bit_count()
 
 
@@ -229,11 +254,25 @@ def node_of(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
+def _salted(node: Column, salt: Column) -> Column:
+    """A text's key: the node itself for salt 0, else the node with the salt behind it."""
+    return F.when(salt > 0, F.concat(node, F.unhex(F.lpad(F.hex(salt), 8, "0")))).otherwise(node)
+
+
 def _tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar. texts: (node, text), a row a node at least."""
-    one = texts.groupBy("node").agg(F.any_value("text").alias("text"))
-    right = pairs.join(one.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
-    both = right.join(one.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
+    """The pairs (a, b) whose texts are similar. texts: (node, text), a row a node."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.ceil(F.count("*") / CHUNK).alias("keys"))
+    hot = durable(ends.where("keys > 1"))
+    keyed = texts.select(F.col("node").alias("key"), "text").unionByName(
+        texts.join(hot, "node").select(F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("keys") - 1), lambda k: _salted(F.col("node"), k))).alias("key"), "text")
+    )
+    for side in "ab":
+        pairs = pairs.join(hot.select(F.col("node").alias(side), F.col("keys").alias(f"keys{side}")), side, "left").withColumn(f"keys{side}", F.coalesce(f"keys{side}", F.lit(1)))
+    swap = F.expr("keysa > keysb")
+    hub, member = F.when(swap, F.col("a")).otherwise(F.col("b")), F.when(swap, F.col("b")).otherwise(F.col("a"))
+    dealt = pairs.select("a", "b", member.alias("member"), _salted(hub, F.pmod(F.xxhash64(member), F.greatest("keysa", "keysb"))).alias("hub"))
+    one = dealt.join(keyed.select(F.col("key").alias("member"), F.col("text").alias("right")), "member")
+    both = one.join(keyed.select(F.col("key").alias("hub"), F.col("text").alias("left")), "hub")
     return durable(both.where(_similar("left", "right")).select("a", "b"))
 
 
@@ -297,21 +336,39 @@ def components(links: DataFrame, *, small: int = SMALL) -> DataFrame:
     return found
 
 
-def _prefix_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) of different roots that can be similar: an exact join by rare shingles.
+def _prefixes(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, n, root, at, s): the shingles of each member that a pair of 0.8 can rest on.
 
     members: (node, n, root). With all shingles ordered by how many members have them, texts of A and
     B shingles with C = ceil(4 (A + B) / 9) in common share one among the first A - C + 1 of the one
     and the first B - C + 1 of the other. Shingles that a large group has in common come last.
     """
-    one = texts.groupBy("node").agg(F.any_value("text").alias("text"))
-    each = durable(members.join(one, "node").select("node", "n", "root", F.explode(_marked("text")).alias("s")))
+    each = durable(members.join(texts, "node").select("node", "n", "root", F.explode(_marked("text")).alias("s")))
     ranked = each.join(each.groupBy("s").agg(F.count("*").alias("df")), "s").groupBy("node", "n", "root").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
-    first = durable(ranked.select("node", "n", "root", F.posexplode(F.expr("slice(all, 1, n - ceil(0.8D * n - 1e-9D) + 1)")).alias("at", "x")).where("x.df > 1").select("node", "n", "root", "at", F.col("x.s").alias("s")))
-    left, right = (first.select("s", *[F.col(c).alias(c + side) for c in ("node", "n", "root", "at")]) for side in "ab")
+    first = ranked.select("node", "n", "root", F.posexplode(F.expr("slice(all, 1, n - ceil(0.8D * n - 1e-9D) + 1)")).alias("at", "x"))
+    return durable(first.where("x.df > 1").select("node", "n", "root", "at", F.col("x.s").alias("s")))
+
+
+def _met(first: DataFrame) -> DataFrame:
+    """Rows of first that share s, of different roots: those outside the root that has s most often with all others.
+
+    Shingles of a single root are left out before anything meets; a frequent one is dealt to several keys.
+    """
+    by_root = first.groupBy("s", "root").agg(F.count("*").alias("c"))
+    shared = by_root.groupBy("s").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("all"), F.count("*").alias("roots"))
+    shared = shared.where("roots > 1").select("s", F.col("most.root").alias("major"), F.ceil(F.col("all") / CHUNK).alias("keys"))
+    held = durable(first.join(shared, "s"))
+    left, right = (held.select("s", "major", "keys", *[F.col(c).alias(c + side) for c in ("node", "n", "root", "at")]) for side in "ab")
+    left = left.where("roota != major").select("s", "nodea", "na", "roota", "ata", F.explode(F.sequence(F.lit(0).cast("long"), F.col("keys") - 1)).alias("key"))
+    right = right.select("s", "nodeb", "nb", "rootb", "atb", F.pmod(F.xxhash64("nodeb"), "keys").alias("key"))
+    return left.join(right, ["s", "key"])
+
+
+def _prefix_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b), a < b, of different roots that can be similar: an exact join by rare shingles."""
     common = "ceil(4 * (na + nb) / 9D - 1e-9D)"
-    fits = F.expr(f"nodea < nodeb and roota != rootb and ata <= na - {common} and atb <= nb - {common}")
-    return left.join(right, "s").where(fits & _sizes_fit("na", "nb")).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+    fits = F.expr(f"roota != rootb and ata <= na - {common} and atb <= nb - {common}")
+    return _met(_prefixes(members, texts)).where(fits & _sizes_fit("na", "nb")).select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
 
 
 def _sizes_fit(a: str, b: str) -> Column:
@@ -324,10 +381,31 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
         return _classes(docs, key, text)
 
 
-def _pairs_of(members: Column) -> Column:
-    """All (a, b) of an array of at most PAIRWISE struct(node, n, root) that are in different components and of fitting size."""
-    other = F.transform(members, lambda x: F.transform(F.filter(members, lambda y: (x["node"] < y["node"]) & (x["root"] != y["root"]) & (9 * F.least(x["n"], y["n"]) >= 4 * (x["n"] + y["n"]))), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))))
-    return F.flatten(other)
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) once links (a, b) between nodes of different components are added."""
+    for side in "ab":
+        links = links.join(roots.select(F.col("node").alias(side), "root"), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+    links = durable(links.where("a != b").distinct())
+    if not links.head(1):
+        return roots
+    top = components(links)
+    own = top.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return durable(roots.unionByName(top.join(roots, "node", "left_anti")).join(own, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+
+
+def _placed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, n, root, bucket, members) of buckets that hold several components."""
+    at = shared.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.explode("at").alias("at")).select("node", "n", "root", "at.*")
+    mixed = at.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
+    return durable(at.join(mixed, "bucket"))
+
+
+def _outsiders(placed: DataFrame) -> DataFrame:
+    """(a, b): in each bucket, who is outside its largest component with one of it, chosen by hash and so not alike in all buckets."""
+    by_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node", "n")).alias("one"))
+    major = by_root.groupBy("bucket").agg(F.max(F.struct("c", "root", "one")).alias("m")).select("bucket", F.col("m.root").alias("major"), F.col("m.one.node").alias("one"), F.col("m.one.n").alias("m"))
+    apart = placed.join(major, "bucket").where(F.expr("root != major") & _sizes_fit("n", "m"))
+    return apart.select(F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b")).distinct()
 
 
 def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -343,28 +421,19 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     leaders = spread.groupBy("bucket").agg(F.max(F.struct("weight", "node", "n")).alias("l")).select("bucket", F.col("l.node").alias("lead"), F.col("l.n").alias("m"))
     lead = durable(spread.join(leaders, "bucket").where(F.expr("node != lead") & _sizes_fit("n", "m")).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
     # id and text together are the key of this join, so copies of one text do not meet in one task
-    source = docs.select(F.col(key).alias("id"), t.alias("text"), node_of(t).alias("own")).where("own is not null")
-    wanted = shared.select("node", "first")
-    texts = written(source.join(wanted, F.col("id").eqNullSafe(F.col("first")) & (F.col("own") == F.col("node"))).select("node", "text"), "texts")
+    source = docs.select(F.xxhash64(F.col(key)).alias("at"), node_of(t).alias("node"), t.alias("text")).where("node is not null")
+    wanted = shared.select("node", F.xxhash64("first").alias("at"))
+    texts = written(source.join(wanted, ["node", "at"]).groupBy("node", "at").agg(F.any_value("text").alias("text")).select("node", "text"), "texts")
     roots = components(_tested(lead, texts))
-    # members of different components that share a bucket were not tested with each other yet
-    placed = durable(shared.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.explode("at").alias("at")).select("node", "n", "root", "at.*"))
-    few = placed.where(F.col("members") <= PAIRWISE).groupBy("bucket").agg(F.collect_list(F.struct("node", "n", "root")).alias("of"))
-    rest = few.select(F.explode(_pairs_of(F.col("of"))).alias("p")).select("p.*")
-    large = placed.where(F.col("members") > PAIRWISE)
-    mixed = large.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
-    many = durable(large.join(mixed, "bucket").select("node", "n", "root").distinct())
-    if many.head(1):
-        rest = rest.unionByName(_prefix_pairs(many, texts))
-    rest = durable(rest.distinct().join(lead, ["a", "b"], "left_anti"))
-    if rest.head(1):
-        # only the components are left to be joined
-        links = _tested(rest, texts)
-        for side in "ab":
-            links = links.join(roots.select(F.col("node").alias(side), "root"), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
-        joined = components(durable(links.where("a != b").distinct()))
-        own = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        roots = roots.unionByName(joined.join(roots, "node", "left_anti")).join(own, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    placed = _placed(shared, roots)
+    if placed.head(1):
+        more = durable(_outsiders(placed).join(lead, ["a", "b"], "left_anti"))
+        roots = _joined(roots, _tested(more, texts))
+        # two members of a bucket have met by now
+        many = durable(_placed(shared, roots).where("members > 2").select("node", "n", "root").distinct())
+        if many.head(1):
+            tried = lead.unionByName(more)
+            roots = _joined(roots, _tested(durable(_prefix_pairs(many, texts).join(tried, ["a", "b"], "left_anti")), texts))
     named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("node"))).alias("h"))
     of = durable(named.join(heads, "root").select("node", F.col("h.first").alias("class_id"), (F.col("h.node") == F.col("node")).alias("has_head")))

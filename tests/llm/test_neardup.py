@@ -1,4 +1,6 @@
 import random
+import time
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
@@ -92,9 +94,9 @@ def test_classes_equal_brute_force(spark):
     assert all(k == min(g) for k, g in got.items())
 
 
-@pytest.mark.parametrize("pairwise", [0, 3])
-def test_prefix_join_loses_no_link(spark, monkeypatch, pairwise):
-    monkeypatch.setattr(d, "PAIRWISE", pairwise)
+@pytest.mark.parametrize("chunk", [2, 256])
+def test_prefix_join_loses_no_link(spark, monkeypatch, chunk):
+    monkeypatch.setattr(d, "CHUNK", chunk)
     r = random.Random(11)
     base = [f"w{k}" for k in range(150)]
     rows = []
@@ -113,6 +115,47 @@ def test_prefix_join_loses_no_link(spark, monkeypatch, pairwise):
     assert sorted(sorted(g) for g in got.values()) == brute(rows)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=60), st.lists(st.integers(0, 2), max_size=60))
+def test_frequent_shingles_align_alike(a, b):
+    held, d.DENSE = d.DENSE, 3
+    try:
+        assert d.similar(a, b) == (9 * lcs(a, b) >= 4 * (len(a) + len(b)))
+    finally:
+        d.DENSE = held
+
+
+@pytest.mark.parametrize("kinds", [10**9, 50])
+def test_very_long_pair_in_bounded_memory(kinds):
+    r = random.Random(12)
+    a = [r.randrange(kinds) for _ in range(200_000)]
+    b = list(a)
+    for at in sorted(r.sample(range(len(b)), 10_000), reverse=True):
+        b[at : at + 1] = [] if at % 3 == 0 else [-1 - at]
+    began = time.perf_counter()
+    tracemalloc.start()
+    assert d.similar(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200_000_000 and time.perf_counter() - began < 240
+
+
+def test_a_component_never_meets_itself(spark):
+    """A group of 20,000 with three shingles in common and an outlier that has two of them."""
+    n = 20_000
+    group = spark.range(n).selectExpr("cast(cast(id as string) as binary) as node", "50 as n", "cast('r' as binary) as root", "explode(array(struct(0 as at, 7L as s), struct(1 as at, 8L as s), struct(2 as at, 9L as s))) as x").select("node", "n", "root", "x.*")
+    outlier = spark.sql("SELECT cast('out' AS binary) AS node, 50 AS n, cast('out' AS binary) AS root, at, s FROM VALUES (0, 7L), (1, 8L), (2, 99L) AS v(at, s)")
+    met = d._met(group.unionByName(outlier))
+    assert met.count() == 2 * (n + 1)
+    assert met.where("roota != rootb").select("nodeb").distinct().count() == n
+
+
+def test_hot_text_is_dealt_to_several_keys(spark):
+    pairs = spark.range(1, 1001).selectExpr("cast('hub' as binary) as a", "cast(concat('x', id) as binary) as b")
+    texts = spark.range(1, 1001).selectExpr("cast(concat('x', id) as binary) as node", "if(id % 2 = 0, repeat('a b c d e f ', 9), 'other words') as text").unionByName(spark.sql("SELECT cast('hub' AS binary) AS node, repeat('a b c d e f ', 9) AS text"))
+    assert d._tested(pairs, texts).count() == 500
+
+
 def test_one_of_each_and_repeats(spark):
     text = " ".join(map(str, range(100)))
     rows = [(1, text, "a"), (1, text, "a"), (2, text + " x", "b"), (3, None, "c"), (3, None, "c"), (4, "other", "d"), (None, "other", "e")]
