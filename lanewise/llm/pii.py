@@ -4,20 +4,24 @@ Base spans (leftmost, non-overlapping per kind, failing matches dropped without
 (parts at most 255), card (12 to 19 digits passing Luhn), phone (9 to 15 digits). Offsets are code
 points, ends exclusive.
 
-Bootstrapping. Base entities are the seed instances. Every mention of a seed or of an
-identifier-shaped candidate (6 to 64 of ``[A-Za-z0-9_-]`` with a digit, touching no base span)
-gives two lexical patterns: the lower-cased word before it, and the two words before it. Spark
-aggregates (pattern, instance) edges, counts how often each pattern's slot occurs over all words of
-the corpus, and then scores the graph in rounds: a pattern's confidence is the score-weighted share
-of its slots that instances fill, an instance's score is the noisy-or of its patterns (1 for seeds).
-Patterns of at least ``support`` distinct scored instances and confidence ``confidence`` are high;
-candidates in their slots become spans of kind ``identifier``. Base spans always stay.
-
-Only patterns with ``support`` instances and a candidate, which alone can discover something, are
-counted; they go to the tasks in blocks of ``block`` patterns, so memory is bounded for any corpus.
+Bootstrapping. Seed instances are the base entities and key-shaped candidates: 32, 40 or 64 hexadecimal
+digits with a letter and a digit among them. Every mention of a seed or of an identifier-shaped candidate (6
+to 64 of ``[A-Za-z0-9_-]`` with a digit, touching no base span) gives two lexical patterns: the lower-cased
+word before it, and the two words before it, where words are runs without white space of at most ``WORD``
+code points (a longer one makes no pattern). Spark aggregates (pattern, instance) edges, counts how often
+each pattern's slot occurs over all words of the corpus, and then scores the graph in rounds: a pattern's
+confidence is the score-weighted share of its slots that instances fill, an instance's score is the
+noisy-or of its patterns (1 for seeds). Patterns of at least ``support`` distinct scored instances and
+confidence ``confidence`` are high; candidates in their slots become spans of kind ``identifier``, be they
+seeds or not. Base spans always stay.
+
+Only patterns with ``support`` instances and a candidate, which alone can find something, are
+counted; they go to the tasks in blocks of ``block`` patterns of at most 2 ``WORD`` + 1 code points, so memory is
+bounded in bytes for any corpus.
 
 Defined cases: null text is empty; empty tables give no rows; texts are scanned whole and in linear
-time; repeated rows are scanned one by one; an existing column named like ``out`` is replaced.
+time, whatever their length; ties need no order, as all patterns at the bound are high; repeated rows are scanned one by
+one; an existing column named like ``out`` is replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +42,8 @@ KINDS = ("email", "ip", "card", "phone", "identifier")
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.5, 3
 #: Patterns that one pass holds in each worker.
 BLOCK = 200_000
+#: Code points of the longest word that a pattern is made of.
+WORD = 64
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -46,6 +52,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _DIGIT_ON = re.compile(r"[0-9][A-Za-z0-9_-]*")
+_WORDS = re.compile(r"\S+")
+_KEY = re.compile(r"(?=.*[0-9])(?=.*[A-Fa-f])(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64})")
 _HEAD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_-")
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
@@ -91,7 +99,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifier-shaped pieces that touch no base span."""
+    """Identifier-shaped pieces that touch no base span, by start. base: by start, of any overlap."""
+    covered: list[list[int]] = []
+    for s, _, e in base:
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
     done, k = 0, 0
     for m in _DIGIT_ON.finditer(text):
         start, end = m.span()
@@ -102,43 +116,43 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[in
         done = end
         if not 6 <= end - start <= 64:
             continue
-        while k < len(base) and base[k][2] <= start and base[k][0] < start:
+        while k < len(covered) and covered[k][1] <= start:
             k += 1
-        if not any(s < end and e > start for s, _, e in base[max(0, k - 4) :][:12]):
+        if k == len(covered) or covered[k][0] >= end:
             yield start, end
 
 
-def contexts(text: str, start: int) -> list[str]:
-    """The word and the two words before the white-space-delimited token at start, lower-cased."""
-    left = start
-    while left > 0 and not text[left - 1].isspace():
-        left -= 1
-    before: list[str] = []
-    while left > 0 and len(before) < 2:
-        end = left
-        while end > 0 and text[end - 1].isspace():
-            end -= 1
-        left = end
-        while left > 0 and not text[left - 1].isspace():
-            left -= 1
-        if end > left:
-            before.insert(0, text[left:end].lower())
-    return [before[-1], " ".join(before)] if len(before) == 2 else before
+def contexts(text: str, spans: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, patterns) of spans by start: the word and the two words before the white-space-delimited token at start, lower-cased.
+
+    The words are walked once for all spans.
+    """
+    words, before = _WORDS.finditer(text), [None, None]
+    word = next(words, None)
+    for start, end in spans:
+        while word is not None and word.end() <= start:
+            before = [before[1], word]
+            word = next(words, None)
+        near = [w[0].lower() if w is not None and w.end() - w.start() <= WORD else None for w in before]
+        yield start, end, [] if near[1] is None else [near[1]] if near[0] is None else [near[1], f"{near[0]} {near[1]}"]
+
+
+def mentions(text: str) -> Iterator[tuple[str, str, bool]]:
+    """(pattern, value, whether a seed) of every base span and candidate."""
+    base = base_spans(text)
+    for s, e, patterns in contexts(text, ((s, e) for s, _, e in base)):
+        yield from ((p, text[s:e], True) for p in patterns)
+    for s, e, patterns in contexts(text, candidates(text, base)):
+        if patterns:
+            seed = _KEY.fullmatch(text, s, e) is not None
+            yield from ((p, text[s:e], seed) for p in patterns)
 
 
 @F.arrow_udf(_MENTIONS)
 def _mentions(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kind = pa.list_(pa.struct([("pattern", pa.string()), ("value", pa.string()), ("seed", pa.bool_())]))
     for texts in batches:
-        rows = []
-        for text in texts:
-            text, row = text.as_py() or "", []
-            base = base_spans(text)
-            for s, _, e in base:
-                row += [(p, text[s:e], True) for p in contexts(text, s)]
-            for s, e in candidates(text, base):
-                row += [(p, text[s:e], False) for p in contexts(text, s)]
-            rows.append([{"pattern": p, "value": v, "seed": x} for p, v, x in row])
+        rows = [[{"pattern": p, "value": v, "seed": x} for p, v, x in mentions(text.as_py() or "")] for text in texts]
         yield pa.array(rows, type=kind)
 
 
@@ -214,8 +228,7 @@ def _finder(held):
                 for x in old.as_py() or ():
                     spans.add((x["start"], KINDS.index(x["kind"]), x["end"]))
                 if one or two:
-                    for s, e in candidates(text, base):
-                        left = contexts(text, s)
+                    for s, e, left in contexts(text, candidates(text, base)):
                         if left and (left[0] in one or len(left) > 1 and tuple(left[1].split(" ")) in two):
                             spans.add((s, 4, e))
                 rows.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(spans)])

@@ -1,5 +1,8 @@
+import random
 import re
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -54,6 +57,96 @@ def test_long_runs_stay_linear():
     assert pii.base_spans(text) == []
 
 
+def test_commas_and_long_words_stay_linear():
+    """One white-space-free megabyte of identifiers, and a megabyte-long word before many candidates."""
+    for text in ("ab12cd," * 150_000, "x" * 1_000_000 + " id77777" * 20_000, "a.b@c.de,id12345," * 60_000):
+        began = time.perf_counter()
+        found = [*pii.mentions(text)]
+        assert time.perf_counter() - began < 60
+        assert all(len(p) <= 2 * pii.WORD + 1 for p, _, _ in found)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a.b@c.de", "4111 1111 1111 1111", "1.2.3.4", "id12345", "x_99-77", "é", " ", "\n", ",", "Ref:", "=", "y" * 70]), max_size=14))
+def test_contexts_and_candidates_equal_plain_walks(pieces):
+    text = "".join(pieces)
+    base = pii.base_spans(text)
+    got = [*pii.candidates(text, base)]
+    assert all(6 <= e - s <= 64 and not any(bs < e and be > s for bs, _, be in base) for s, e in got)
+    free = [m.span() for m in re.finditer(r"[A-Za-z0-9_-]*[0-9][A-Za-z0-9_-]*", text)]
+    assert got == [(s, e) for s, e in free if 6 <= e - s <= 64 and not any(bs < e and be > s for bs, _, be in base)]
+    for s, _, near in pii.contexts(text, got):
+        before = text[:s].split() if s == 0 or text[s - 1].isspace() else text[:s].split()[:-1]
+        last = [w.lower() if len(w) <= pii.WORD else None for w in before[-2:]]
+        want = [] if not last or last[-1] is None else [last[-1]] + ([" ".join(last)] if len(last) == 2 and last[0] else [])
+        assert near == want
+
+
+def brute_patterns(texts, support=pii.SUPPORT, confidence=pii.CONFIDENCE, rounds=pii.ROUNDS):
+    """The pattern-instance graph in plain loops: {pattern: confidence} of the high ones."""
+    count, seeds, slots = {}, set(), {}
+    for text in texts:
+        for p, v, seed in pii.mentions(text or ""):
+            count[p, v] = count.get((p, v), 0) + 1
+            if seed:
+                seeds.add((p, v))
+        words = (text or "").lower().split()
+        for k in range(len(words) - 1):
+            for p in (words[k], " ".join(words[k - 1 : k + 1])) if k else (words[k],):
+                slots[p] = slots.get(p, 0) + 1
+    of = {}
+    for p, v in count:
+        of.setdefault(p, set()).add(v)
+    able = {p for p, vs in of.items() if len(vs) >= support and any((p, v) not in seeds for v in vs)}
+    edges = {k: n for k, n in count.items() if k[0] in able}
+    score = {k: float(k in seeds) for k in edges}
+    sure = {v for p, v in edges if (p, v) in seeds}
+    if not sure:
+        return {}
+    for _ in range(rounds):
+        own = {}
+        for p in able:
+            mine = [k for k in edges if k[0] == p]
+            backed = sum(score[k] >= confidence for k in mine)
+            own[p] = min(1.0, sum(edges[k] * score[k] for k in mine) / max(1, slots.get(p, 0))) if backed >= support else 0.0
+        for p, v in edges:
+            miss = 1.0
+            for q in able:
+                if (q, v) in edges:
+                    miss *= 1 - min(own[q], 0.999999)
+            score[p, v] = 1.0 if v in sure else 1 - miss
+    return {p: c for p, c in own.items() if c >= confidence}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_graph_rounds_equal_brute_force(spark, seed):
+    r = random.Random(seed)
+    values = ["a.b@c.de", "x@y.org", "4111111111111111", "10.0.0.7", "id1234", "id9999", "zz-12-zz", *(r.randbytes(16).hex() for _ in range(4))]
+    texts = [" ".join(r.choice(["ref", "no", "the", "user", *values]) for _ in range(r.randint(0, 14))) for _ in range(60)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {x.pattern: x.confidence for x in pii.high_patterns(docs).collect()}
+    assert got == pytest.approx(brute_patterns(texts))
+    assert got
+
+
+def test_recall_on_planted_contexts(spark):
+    """Identifiers of a shape that no rule knows, in slots that keys also fill: found; the same shapes elsewhere: left alone."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("aehinorst") for _ in range(r.randint(2, 7)))
+    texts, planted = [], {}
+    for k in range(400):
+        body = [word() for _ in range(60)]
+        if k % 4 == 0:
+            value = r.randbytes(20).hex() if k % 8 == 0 else f"K{r.randrange(10**7):07d}-{word()}"
+            body[20:20] = ["session", "key", "is", value]
+            planted[k] = value
+        elif k % 4 == 1:
+            body.insert(30, f"K{r.randrange(10**7):07d}-{word()}")
+        texts.append(" ".join(body))
+    found = rows(spark, texts)
+    assert {k: [v for _, v in x] for k, x in found.items() if x} == {k: [v] for k, v in planted.items()}
+
+
 def rows(spark, texts, **options):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     return {r.doc_id: [(x.kind, docs_text[x.start : x.end]) for x in r.personal] for r in pii.find_personal_data(docs, **options).collect() for docs_text in [texts[r.doc_id] or ""]}
