@@ -1,10 +1,11 @@
 """Chat formatting over reply trees.
 
 Native throughout: DataFrame functions only. A tree is rows (tree, node, parent, role, text, score).
-Root-to-leaf paths are enumerated by iterative self-joins with doubling jumps: round k joins each
-leaf's ancestors found so far with the 2^k-th ancestor of every node, so a tree of depth d takes
-log2(d) joins and no list of a path travels. Branches are ranked by the mean score of their nodes
-(ties: the longer, then the smaller leaf), and each chosen path is formatted as one conversation.
+Root-to-leaf paths are enumerated by iterative self-joins with doubling jumps. Round k joins every node with
+its 2^k-th ancestor and adds up the scores between, so after log2(depth) joins of one row a node each leaf
+knows its branch's sum and size. Branches are ranked by the mean score of their nodes (ties: the longer, then
+the smaller leaf); only the chosen leaves are then walked up through the same jumps, and each chosen path is
+formatted as one conversation. No list of a path travels, and a chain with a leaf at each node costs no square.
 
 Template. A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. Control strings inside texts and roles
 (``<|``, ``<s>``, ``</s>``, ``<<SYS>>``, ``<</SYS>>``, ``[INST]``, ``[/INST]``) get a backslash after their
@@ -15,9 +16,9 @@ the trained text from the formatted string and its mask alone.
 
 Defined cases: null roles and texts are empty; rows that share a turn follow each other in role and
 text order, and none is lost; a null tree (a null conv_id) is one tree like any other, as GROUP BY
-has it; a node whose parent is absent is a root; a tree without a root (a pure
-cycle) has no path; clashing columns do not matter, as only the named ones are read; empty tables
-give no conversations.
+has it; a node whose parent is absent is a root; a leaf that reaches no root (above a cycle) and a pure
+cycle have no path; null scores count as none in a mean; clashing columns do not matter, as only the named ones are
+read; very long texts are escaped and masked whole; empty tables give no conversations.
 """
 
 from __future__ import annotations
@@ -65,29 +66,49 @@ def _joined(a: DataFrame, b: DataFrame, key: str, how: str = "inner") -> DataFra
     return a.join(other, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col(key) == F.col("_key")), how).drop("_tree", "_key")
 
 
+def _climbed(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """((tree, leaf, total, scored, size) of each leaf's branch, [(tree, node, above): 2^k-th ancestors])."""
+    one = nodes.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("total"), F.count("score").alias("scored"), F.count("*").alias("size"))
+    known = one.select("tree", F.col("node").alias("parent"), F.col("node").alias("above"))
+    sums = durable(_joined(one, known, "parent", "left").select("tree", "node", "above", "total", "scored", "size"))
+    hops, most = [], None
+    inner = sums.where("above is not null").select("tree", F.col("above").alias("node")).distinct()
+    leaves = _joined(sums.select("tree", "node"), inner, "node", "left_anti")
+    while sums.where("above is not null").head(1):
+        most = sums.count() if most is None else most
+        if 1 << len(hops) > most:  # a cycle: no path is longer than there are nodes
+            break
+        hops.append(sums.where("above is not null").select("tree", "node", "above"))
+        further = sums.select("tree", F.col("node").alias("above"), F.col("above").alias("top"), *[F.col(c).alias(f"{c}_up") for c in ("total", "scored", "size")])
+        grown = [(F.col(c) + F.coalesce(f"{c}_up", F.lit(0))).alias(c) for c in ("total", "scored", "size")]
+        sums = durable(_joined(sums, further, "above", "left").select("tree", "node", F.col("top").alias("above"), *grown))
+    branches = _joined(sums.where("above is null"), leaves, "node", "left_semi")
+    return branches.select("tree", F.col("node").alias("leaf"), "total", "scored", "size"), hops
+
+
+def _walked(leaves: DataFrame, hops: list[DataFrame]) -> DataFrame:
+    """leaves (tree, leaf, ...) with (node, up) for every node above them, the leaf itself included."""
+    own = [c for c in leaves.columns if c != "tree"]
+    found = durable(leaves.select("tree", *own, F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up")))
+    for k, hop in enumerate(hops):
+        above = _joined(found, hop.withColumnRenamed("above", "next"), "node").select("tree", *own, F.col("next").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        found = durable(found.unionByName(above))
+    return found
+
+
 def paths(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, node, up) for every node on a root-to-leaf path; up: steps above the leaf."""
-    edges = nodes.select("tree", "node", "parent").distinct()
-    known = edges.select("tree", F.col("node").alias("parent")).distinct()
-    jumps = durable(_joined(edges, known, "parent", "left_semi").select("tree", "node", F.col("parent").alias("above")))
-    leaves = _joined(edges.select("tree", "node").distinct(), jumps.select("tree", F.col("above").alias("node")).distinct(), "node", "left_anti")
-    found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    step, most = 1, edges.count()
-    while step <= most and jumps.head(1):
-        up = jumps.withColumnRenamed("above", "next")
-        found = durable(found.unionByName(_joined(found, up, "node").select("tree", "leaf", F.col("next").alias("node"), (F.col("up") + step).alias("up"))))
-        jumps = durable(_joined(jumps, jumps.select("tree", F.col("node").alias("above"), F.col("above").alias("top")), "above").select("tree", "node", F.col("top").alias("above")))
-        step *= 2
-    return found
+    branches, hops = _climbed(nodes)
+    return _walked(branches.select("tree", "leaf"), hops)
 
 
 def best_paths(nodes: DataFrame, *, keep: int = 1) -> DataFrame:
     """The nodes of the ``keep`` best branches of each tree, with leaf, up and rank."""
-    along = _joined(paths(nodes), nodes, "node")
-    branches = along.groupBy("tree", "leaf").agg(F.avg("score").alias("mean"), F.count("*").alias("size"))
+    branches, hops = _climbed(nodes)
     order = Window.partitionBy("tree").orderBy(F.desc("mean"), F.desc("size"), "leaf")
-    chosen = branches.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).select("tree", "leaf", "rank")
-    return _joined(along, chosen, "leaf")
+    mean = F.when(F.col("scored") > 0, F.col("total") / F.col("scored"))
+    chosen = branches.withColumn("mean", mean).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).select("tree", "leaf", "rank")
+    return _joined(_walked(chosen, hops), nodes, "node")
 
 
 def format_paths(along: DataFrame, *, trained: str = "assistant") -> DataFrame:

@@ -55,3 +55,31 @@ def test_null_tree_ranks_branches(spark):
     nodes = spark.createDataFrame(nodes, "tree long, node long, parent long, role string, text string, score double")
     best = {(r.tree, r.rank, r.leaf, r.node, r.up) for r in chat.best_paths(nodes, keep=2).collect()}
     assert best == {(None, 1, 4, 4, 0), (None, 1, 4, 3, 1), (None, 1, 4, 1, 2), (None, 2, 2, 2, 0), (None, 2, 2, 1, 1), (0, 1, 1, 1, 0)}
+
+
+def test_comb_costs_no_square(spark, monkeypatch):
+    """A chain of 300 with a leaf at each node: the chosen path alone is written out."""
+    n, seen = 300, []
+    rows = [(1, k, k - 1 if k else None, "user", f"t{k}", 0.5) for k in range(n)] + [(1, 1000 + k, k, "assistant", f"l{k}", 0.9 if k == 200 else 0.1) for k in range(n)]
+    durable = chat.durable
+
+    def counted(df):
+        out = durable(df)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(chat, "durable", counted)
+    nodes = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    got = {r.node: r.up for r in chat.best_paths(nodes).collect()}
+    score = {x[1]: x[5] for x in rows}
+    branch = lambda k: [1000 + k, *range(k, -1, -1)]
+    best = min(range(n), key=lambda k: (-sum(score[x] for x in branch(k)) / (k + 2), -(k + 2)))
+    assert got == {x: up for up, x in enumerate(branch(best))}
+    assert max(seen) <= 2 * n
+
+
+def test_leaf_above_a_cycle_has_no_path(spark):
+    rows = [(1, 1, 2, "user", "a", 1.0), (1, 2, 1, "user", "b", 1.0), (1, 3, 2, "user", "leaf", 1.0), (1, 4, None, "user", "root", None), (1, 5, 4, "user", "reply", None)]
+    nodes = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    assert {(r.leaf, r.node, r.up) for r in chat.paths(nodes).collect()} == {(5, 5, 0), (5, 4, 1)}
+    assert {r.node for r in chat.best_paths(nodes).collect()} == {4, 5}
