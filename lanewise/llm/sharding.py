@@ -1,7 +1,7 @@
 """Sharding by histogram sort: shards of near-equal bytes, contiguous in a sort key.
 
-Native throughout: DataFrame functions only. Rows are ordered by ``key`` (an integer, null first) and,
-among equal keys, by a hash of size and text. Splitter j is the first row before which at least
+Native throughout: DataFrame functions only. Rows are ordered by ``key`` (an integer; null first) and,
+among equal keys, by a hash of size and text. A text key is ordered by its first 8 bytes, any other kind by its hash; null and an empty text tie. Splitter j is the first row before which at least
 j/n of all bytes lie. The search for the splitters never sorts: each round counts, in every
 partition, the exact bytes and rows in ``probes`` equal intervals of each still open bracket (a
 partial aggregation, so a task sends at most probes x open brackets rows), and keeps the one
@@ -16,17 +16,20 @@ shifted by the counts of the earlier pieces, so parallelism is not limited to th
 Law: ``bytes``. Tolerance 0 gives the exact splitters, which any other order of work reproduces.
 
 Defined cases: null text has size 8 (its 0 bytes plus 8); null keys come first; repeated rows are
-placed one after the other; an empty table gives no rows; other columns travel along unread.
+placed one after the other; an empty table gives no rows; very long texts count by their bytes and are not copied;
+other columns travel along unread, but one named like an output (``names``, in any case) is replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lanewise.llm.common import durable, free_name, load, utf8_bytes
 
 SHARDS, OVERHEAD, PROBES = 24, 8, 4096
+OUT = ("size", "shard", "slot")
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -34,6 +37,19 @@ def size_of(text: Column) -> Column:
     return utf8_bytes(text) + OVERHEAD
 
 
+def key_of(df: DataFrame, key: str) -> Column:
+    """The sort key as a long, in the order of integers or of a text's first 8 bytes; null is the lowest."""
+    kind, c = df.schema[key].dataType, F.col(key)
+    if isinstance(kind, T.IntegralType):
+        out = c.cast("long")
+    elif isinstance(kind, T.StringType):
+        first = F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, 8)), 16, "0")
+        out = (F.conv(first, 16, 10).cast("decimal(20,0)") + F.lit(_LOW).cast("decimal(20,0)")).cast("long")
+    else:
+        out = F.when(c.isNotNull(), F.xxhash64(c))
+    return F.coalesce(out, F.lit(_LOW))
+
+
 def _refine(rows: DataFrame, column: str, open_: dict[int, tuple], probes: int) -> dict[int, list]:
     """For each bracket (id: (low, high, condition)): [(interval's low, bytes, rows)] in order."""
     found: dict[int, list] = {}
@@ -107,14 +123,14 @@ def splitters(rows: DataFrame, shards: int, *, tolerance: float = 0.0, probes: i
     return [done[j] for j in range(1, shards)], total
 
 
-def shard(df: DataFrame, shards: int = SHARDS, *, key: str = "doc_id", text: str = "text", tolerance: float = 0.0, probes: int = PROBES) -> DataFrame:
-    """df with size, shard and slot (gapless from 0 in each shard, in key order)."""
-    names = {n: free_name(df, n) for n in ("k1", "k2", "__piece", "__copy")}
+def shard(df: DataFrame, shards: int = SHARDS, *, key: str = "doc_id", text: str = "text", tolerance: float = 0.0, probes: int = PROBES, out: tuple[str, str, str] = OUT) -> DataFrame:
+    """df with size, shard and slot (gapless from 0 in each shard, in key order), named as in ``out``."""
+    names = {n: free_name(df, f"__{n}") for n in ("k1", "k2", "piece", "copy", "size", "shard", "slot", "before")}
     t = F.col(text).cast("string")
-    keyed = df.drop("size", "shard", "slot").withColumns({names["k1"]: F.coalesce(F.col(key).cast("long"), F.lit(_LOW)), names["k2"]: F.xxhash64(utf8_bytes(t), t), "size": size_of(t)})
-    narrow = durable(keyed.select(F.col(names["k1"]).alias("k1"), F.col(names["k2"]).alias("k2"), "size"))
+    keyed = df.withColumns({names["k1"]: key_of(df, key), names["k2"]: F.xxhash64(utf8_bytes(t), t), names["size"]: size_of(t)})
+    narrow = durable(keyed.select(F.col(names["k1"]).alias("k1"), F.col(names["k2"]).alias("k2"), F.col(names["size"]).alias("size")))
     cuts, total = splitters(narrow, shards, tolerance=tolerance, probes=probes)
-    k1, k2, copy = F.col(names["k1"]), F.col(names["k2"]), F.col(names["__copy"])
+    k1, k2, copy = F.col(names["k1"]), F.col(names["k2"]), F.col(names["copy"])
     low, high = narrow.agg(F.min("k1"), F.max("k1")).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) // probes))
     # only pairs that a splitter divides need a number for each of their rows
@@ -122,28 +138,30 @@ def shard(df: DataFrame, shards: int = SHARDS, *, key: str = "doc_id", text: str
     divided = F.lit(False)
     for a, b, _ in set(inner):
         divided |= (k1 == F.lit(a)) & (k2 == F.lit(b))
-    keyed = keyed.withColumn(names["__copy"], F.when(divided, F.lit(None).cast("long")).otherwise(F.lit(0).cast("long")))
+    keyed = keyed.withColumn(names["copy"], F.when(divided, F.lit(None).cast("long")).otherwise(F.lit(0).cast("long")))
     if inner:
-        numbered = keyed.where(divided).withColumn(names["__copy"], F.row_number().over(Window.partitionBy(names["k1"], names["k2"]).orderBy(names["k1"])).cast("long") - 1)
+        numbered = keyed.where(divided).withColumn(names["copy"], F.row_number().over(Window.partitionBy(names["k1"], names["k2"]).orderBy(names["k1"])).cast("long") - 1)
         keyed = keyed.where(~divided).unionByName(numbered)
     at = F.lit(0)
     for a, b, n in cuts:
         above = (k1 > F.lit(a)) | ((k1 == F.lit(a)) & ((k2 > F.lit(b)) | ((k2 == F.lit(b)) & (copy >= F.lit(n)))))
         at = at + above.cast("int")
     piece = F.floor((k1.cast("decimal(20,0)") - F.lit(low or 0).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long")
-    placed = keyed.withColumns({"shard": at.cast("int"), names["__piece"]: piece})
+    placed = keyed.withColumns({names["shard"]: at.cast("int"), names["piece"]: piece})
     # counts of (shard, piece): at most probes + shards - 1 rows, as both follow the key
-    counts = placed.groupBy("shard", names["__piece"]).agg(F.count("*").alias("n"))
-    before = counts.select("shard", names["__piece"], (F.sum("n").over(Window.partitionBy("shard").orderBy(names["__piece"])) - F.col("n")).alias("before"))
-    order = Window.partitionBy("shard", names["__piece"]).orderBy(names["k1"], names["k2"], names["__copy"])
-    ranked = placed.withColumn("slot", F.row_number().over(order).cast("long") - 1)
-    out = ranked.join(F.broadcast(before), ["shard", names["__piece"]]).withColumn("slot", F.col("slot") + F.col("before"))
-    return out.select(*[c for c in df.columns if c.lower() not in ("size", "shard", "slot")], "size", "shard", "slot")
+    of = [names["shard"], names["piece"]]
+    counts = placed.groupBy(*of).agg(F.count("*").alias("n"))
+    before = counts.select(*of, (F.sum("n").over(Window.partitionBy(names["shard"]).orderBy(names["piece"])) - F.col("n")).alias(names["before"]))
+    order = Window.partitionBy(*of).orderBy(names["k1"], names["k2"], names["copy"])
+    ranked = placed.withColumn(names["slot"], F.row_number().over(order).cast("long") - 1).join(F.broadcast(before), of)
+    own = {c.lower() for c in out}
+    made = F.col(names["size"]), F.col(names["shard"]), F.col(names["slot"]) + F.col(names["before"])
+    return ranked.select(*[c for c in df.columns if c.lower() not in own], *[c.alias(n) for c, n in zip(made, out, strict=True)])
 
 
 def write_shards(df: DataFrame, path: str, shards: int = SHARDS, **options) -> None:
     """Parquet, a folder a shard; the exchange of shard() is the only one."""
-    shard(df, shards, **options).write.partitionBy("shard").parquet(path)
+    shard(df, shards, **options).write.partitionBy(options.get("out", OUT)[1]).parquet(path)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,3 +54,23 @@ def test_tolerance_and_clashing_columns(spark):
 
 def test_empty(spark):
     assert s.shard(spark.createDataFrame([], "doc_id long, text string"), 24).count() == 0
+
+
+def test_own_columns_stay_under_other_names(spark):
+    docs = spark.createDataFrame([(k, "x" * k, 100 + k, 200 + k, 300 + k) for k in range(50)], "doc_id long, text string, size int, shard int, slot int")
+    got = s.shard(docs, 4, out=("bytes", "part", "place"))
+    assert got.columns == [*docs.columns, "bytes", "part", "place"]
+    assert all((r["size"], r.shard, r.slot, r.bytes) == (100 + r.doc_id, 200 + r.doc_id, 300 + r.doc_id, r.doc_id + 8) for r in got.collect())
+    assert {(r.part, r.place) for r in got.collect()} == {(r.shard, r.slot) for r in s.shard(docs, 4).collect()}
+
+
+def test_text_and_other_keys(spark):
+    keys = ["", "a", "ab", "b", "é", "漢字", "zzzzzzzzzz", None, "a\0"] * 9
+    docs = spark.createDataFrame([(k, f"t{n}", float(n % 5)) for n, k in enumerate(keys)], "name string, text string, x double")
+    got = s.shard(docs, 3, key="name", probes=8).collect()
+    assert len(got) == len(keys)
+    order = [(r.name or "").encode()[:8].ljust(8, b"\0") for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert order == sorted(order)
+    sizes = [sum(r["size"] for r in got if r.shard == k) for k in range(3)]
+    assert max(sizes) - min(sizes) <= 22
+    assert s.shard(docs, 3, key="x").count() == len(keys)
