@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    Where it is unset, local mode makes one up below the warehouse; a cluster has to name one.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if found or held.isDefined():
+        return found or held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lanewise_checkpoints"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df from the session's checkpoint folder, which all executors share."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """df, written to the shared checkpoint folder and read back; survives lost executors."""
+    context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
