@@ -6,19 +6,22 @@ window. Windows of one length share one matcher: a SHIFT table over blocks of tw
 positions where no window can end, the bucket of the last block (with a hash on the first two
 words) selects windows, and a direct comparison confirms each occurrence.
 
-The benchmark is the side that is sent to every task. Its bytes are counted first; beyond
-``block_bytes`` the items are dealt into blocks of about that size and the documents pass one
-block after the other, each pass cut by a checkpoint, so memory never follows the benchmark.
+The benchmark is the side that is sent to every task. Its windows are counted first; items are cut into
+segments of at most ``SEGMENT`` windows (a long item's segments overlap by a window less one word), and beyond
+``block_windows`` the segments are dealt into blocks of about that many windows. Documents pass one block after
+the other, each pass cut by a checkpoint, so memory never follows the benchmark. A window is held as a place in
+its segment's words under one key of four words, some 300 bytes, so a block is about 120 MB in a worker.
 
 Defined cases: a null or wordless document has no words, no hits, contaminated = false; null and
 wordless items match nothing; an item whose id is null still marks words but is not listed; items
-that repeat an id count once; repeated documents are judged one by one. An existing column named
-like ``out`` (in any case) is replaced; all other columns stay.
+that repeat an id count once; items and documents of any length are searched whole; repeated documents are judged
+one by one. An existing column named like ``out`` (in any case) is replaced; all other columns stay.
 """
 
 from __future__ import annotations
 
 import math
+import string
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -29,8 +32,8 @@ from pyspark.sql import types as T
 from lanewise.llm.common import durable, free_name, load
 
 WINDOW = 10
-#: Most bytes of benchmark text that one pass holds in each worker.
-BLOCK_BYTES = 32 << 20
+#: About how many windows one pass holds in each worker, and how many a segment of an item has at most.
+BLOCK_WINDOWS, SEGMENT = 400_000, 20_000
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _STATE = T.StructType(
@@ -47,56 +50,80 @@ def words_of(data: bytes) -> list[bytes]:
 
 
 class WuManber:
-    """Windows of one length, over words."""
+    """Windows of one length, over words; a window is (item id, its segment's words, place)."""
 
-    def __init__(self, length: int, windows: dict[tuple[bytes, ...], set[str | None]]) -> None:
+    def __init__(self, length: int, segments: list[tuple[str | None, list[bytes]]]) -> None:
         self.length, self.block = length, min(2, length)
         self.most = length - self.block + 1
+        self.segments = segments
         self.shift: dict[tuple[bytes, ...], int] = {}
-        self.buckets: dict[tuple[bytes, ...], dict[tuple[bytes, ...], list[tuple[list[bytes], frozenset]]]] = {}
-        b = self.block
-        for window, ids in windows.items():
-            for end in range(b, length + 1):
-                key = window[end - b : end]
-                self.shift[key] = min(self.shift.get(key, self.most), length - end)
-            self.buckets.setdefault(window[-b:], {}).setdefault(window[:b], []).append((list(window), frozenset(ids)))
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, frozenset]]:
+        # the last block and the first words of a window -> places, as segment << 32 | first word
+        self.buckets: dict[tuple[bytes, ...], int | list[int]] = {}
+        b, last, shift = self.block, length - self.block, self.shift
+        for k, (_, words) in enumerate(segments):
+            n = len(words) - length + 1  # windows
+            for at in range(len(words) - b + 1):
+                # a block that ends a window allows no skip, one at the segment's start ends no window yet
+                key, skip = tuple(words[at : at + b]), 0 if at >= last else last - at
+                if skip < shift.get(key, self.most):
+                    shift[key] = skip
+            for at in range(n):
+                key, place = (*words[at + last : at + length], *words[at : at + b]), k << 32 | at
+                held = self.buckets.setdefault(key, place)
+                if isinstance(held, list):
+                    held.append(place)
+                elif held != place:
+                    self.buckets[key] = [held, place]
+
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, set]]:
         """(start, item ids) of every occurrence."""
-        n, size, b, most, shift, buckets = len(words), self.length, self.block, self.most, self.shift.get, self.buckets
+        n, size, b, most, shift, buckets = len(words), self.length, self.block, self.most, self.shift.get, self.buckets.get
         at = size - 1
-        if b == 1:
-            while at < n:
-                if shift((words[at],), most):
-                    at += 1
-                    continue
-                for _, ids in buckets[(words[at],)][(words[at],)]:
-                    yield at, ids
-                at += 1
-            return
         while at < n:
-            last = (words[at - 1], words[at])
-            skip = shift(last, most)
+            block = tuple(words[at - b + 1 : at + 1])
+            skip = shift(block, most)
             if skip:
                 at += skip
                 continue
             start = at - size + 1
-            for window, ids in buckets[last].get((words[start], words[start + 1]), ()):
-                if words[start : at + 1] == window:
-                    yield start, ids
+            places = buckets((*block, *words[start : start + b]))
+            if places is not None:
+                found = set()
+                for place in places if isinstance(places, list) else (places,):
+                    item, held = self.segments[place >> 32]
+                    first = place & 0xFFFFFFFF
+                    if item not in found and words[start : at + 1] == held[first : first + size]:
+                        found.add(item)
+                if found:
+                    yield start, found
             at += 1
 
 
-def matchers(items: Iterable[tuple[object, str | None]], window: int = WINDOW) -> list[WuManber]:
-    by: dict[int, dict[tuple[bytes, ...], set[str | None]]] = {}
-    for item_id, text in items:
-        words = words_of((text or "").encode())
-        size = min(window, len(words))
-        for k in range(len(words) - size + 1 if size else 0):
-            by.setdefault(size, {}).setdefault(tuple(words[k : k + size]), set()).add(None if item_id is None else str(item_id))
+def matchers_of(segments: Iterable[tuple[object, list[bytes]]], window: int = WINDOW) -> list[WuManber]:
+    """A matcher for each length of windows. segments: (item id, words)."""
+    one: dict[bytes, bytes] = {}  # equal words share one object
+    by: dict[int, list[tuple[str | None, list[bytes]]]] = {}
+    for item_id, words in segments:
+        if words:
+            by.setdefault(min(window, len(words)), []).append((None if item_id is None else str(item_id), [one.setdefault(w, w) for w in words]))
     return [WuManber(size, found) for size, found in sorted(by.items())]
 
 
+def matchers(items: Iterable[tuple[object, str | None]], window: int = WINDOW) -> list[WuManber]:
+    """matchers_of() the whole texts of items (item id, text)."""
+    return matchers_of(((k, words_of((text or "").encode())) for k, text in items), window)
+
+
+def segments_of(items: DataFrame, window: int = WINDOW, most: int = SEGMENT) -> DataFrame:
+    """(item, words, windows) of items (item, text): cut where an item has more than ``most`` windows."""
+    low = F.translate(F.col("text"), string.ascii_uppercase, string.ascii_lowercase)
+    words = items.select("item", F.regexp_extract_all(low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)).alias("all")).where(F.size("all") > 0)
+    whole = F.greatest(F.lit(1), F.size("all") - (window - 1))
+    cut = words.select("item", "all", F.explode(F.sequence(F.lit(0), whole - 1, F.lit(most))).alias("at"), whole.alias("whole"))
+    own = F.least(F.lit(most), F.col("whole") - F.col("at"))
+    return cut.select("item", F.slice("all", F.col("at") + 1, own + window - 1).alias("words"), own.cast("long").alias("windows"))
+
+
 def _marker(held):
     @F.arrow_udf(_STATE)
     def mark(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -122,18 +149,19 @@ def _marker(held):
 
 
 def mark_contamination(
-    docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, out: str = "contamination"
+    docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, out: str = "contamination"
 ) -> DataFrame:
     """docs with ``out``: struct(n_words, hits: a byte a word (null: none), items: sorted ids)."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("words")).where("words is not null")
-    size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
+    items = segments_of(benchmark.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text")), window, min(SEGMENT, block_windows))
+    # repeated texts make windows of their own: they may have other ids
+    size = items.agg(F.sum("windows")).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_windows))
     state = free_name(docs, "__state")
     df = docs.withColumn(state, F.lit(None).cast(_STATE))
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k) if blocks > 1 else items
-        held = spark.sparkContext.broadcast(matchers(((r.item, r.words) for r in part.toLocalIterator()), window))
+        part = items.where(F.pmod(F.xxhash64("words", "item"), F.lit(blocks)) == k) if blocks > 1 else items
+        held = spark.sparkContext.broadcast(matchers_of(((r.item, [w.encode() for w in r.words]) for r in part.toLocalIterator()), window))
         df = df.withColumn(state, _marker(held)(F.col(text).cast("string"), F.col(state)))
         if blocks > 1:
             df = durable(df)
