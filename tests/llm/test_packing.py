@@ -1,6 +1,8 @@
 import numpy as np
+import pyarrow.dataset as ds
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lanewise.llm import packing as p
 
@@ -45,3 +47,30 @@ def test_lossless(spark):
             own = [x for (d, c), v in sorted(found.items(), key=lambda y: (str(y[0][0]), y[0][1])) if d == k for x in v]
             assert own == enc.encode_ordinary(t or "")
     assert p.pack(docs.limit(0)).count() == 0
+
+
+def test_files_and_back(spark, tmp_path):
+    texts = ["hello world " * 40, "", None, "a", "é漢🙂 " * 999, "tail"]
+    docs = spark.createDataFrame([(k, t, "mine") for k, t in enumerate(texts)], "doc_id long, text string, ids string").repartition(3)
+    path = str(tmp_path / "packed")
+    p.write_packed(docs, path, length=64)
+    enc = p._tokenizer(p.vocabulary(spark))
+    want = {k: np.array(enc.encode_ordinary(t), "<u4").tobytes() for k, t in enumerate(texts) if t}
+    assert {r.doc_id: bytes(r.ids) for r in p.unpacked(p.read_packed(spark, path)).collect()} == want
+    tokens = 0
+    for ids, positions, cuts in p.matrices(ds.dataset(path).to_batches(batch_size=5)):
+        assert ids.shape == positions.shape == (len(cuts), 64)
+        for own, at, cut in zip(ids, positions, cuts, strict=True):
+            assert cut[0] == 0 and (at[cut[:-1]] == 0).all() and (own[cut[-1] :] == p.PAD).all()
+            tokens += int(cut[-1])
+    assert 4 * tokens == sum(map(len, want.values()))
+
+
+def test_fill_over_many_small_partitions(spark):
+    """Each partition leaves part-filled rows of its own: the fill that the README states."""
+    docs = spark.range(4000).selectExpr("id as doc_id", "repeat('word and ', cast(20 + id * 7919 % 900 as int)) as text")
+    fill = {}
+    for parts in (2, 200):
+        rows = p.pack(docs.repartition(parts)).select(F.element_at("cu_seqlens", -1).alias("n")).collect()
+        fill[parts] = sum(r.n for r in rows) / (len(rows) * p.LENGTH)
+    assert fill[2] > 0.99 and fill[200] > 0.85  # measured: 0.997 and 0.879
