@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import hashlib
-import re
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanewise.operators import rounds
+from lanewise.operators.rounds import shared_dir
+
 #: White space of the quality and near-duplicate word rule.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -19,33 +21,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Only where it is unset (tests, local mode) one is made up below the warehouse.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lanewise_checkpoints"
-    return found
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
 def durable(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder and read back; survives lost executors.
 
     Its shuffle files go as soon as the copy is whole, so a loop of cuts holds one round's files at a time.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        return df.select("*").checkpoint(eager=True)
+        return rounds.durable(df.select("*"))
 
 
 @contextlib.contextmanager
@@ -101,7 +83,3 @@ def sha256_hex(data: bytes) -> str:
 def utf8_bytes(text: Column) -> Column:
     """UTF-8 length of a string, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-
-
-def is_shared(path: str) -> bool:
-    return bool(re.match(r"[a-z0-9]+://", path))
