@@ -2,7 +2,8 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns what goes on. Each
 result is written as Parquet below the session's shared folder and read again as the next stage's docs, so a lost
-executor costs one stage at most. All but the last return the columns of documents as they came:
+executor costs one stage at most. A stage's table is deleted once the next one's is whole; the fourth's stays, as the
+result is computed from it. All but the last return the columns of documents as they came:
 
 1. quality: documents that the rules or the model reject go.
 2. near_dedup: one document of each near-duplicate class stays.
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.llm import bpe, decontamination, neardup, pii, quality
-from lanewise.llm.common import load, written
+from lanewise.llm.common import discard, load, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs, before = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
