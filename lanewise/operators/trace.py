@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import values as v
+from lanewise.operators.rounds import durable
 
 WARP = 32
+#: Warps of a site that are made from one row.
+WARPS = 4096
 
 
 def with_warp(trace: DataFrame, warp_size: int = WARP) -> DataFrame:
@@ -19,6 +22,19 @@ def with_warp(trace: DataFrame, warp_size: int = WARP) -> DataFrame:
     return trace.withColumn("warp", F.floor(F.col("lane") / max(1, warp_size)).cast("long"))
 
 
+def numbered(rows: DataFrame, by: str, order: list[str], name: str = "lane") -> DataFrame:
+    """rows with their number from 0 in each group of ``by``, in order.
+
+    Rows are range-partitioned by (by, order), numbered inside the pieces, and shifted by the rows of their
+    group in earlier pieces, so a group is numbered by many tasks.
+    """
+    pieces = durable(rows.repartitionByRange(by, *order).withColumn("__piece", F.spark_partition_id()))
+    counts = pieces.groupBy(by, "__piece").agg(F.count("*").alias("__n"))  # a row a group and piece
+    before = counts.select(by, "__piece", (F.sum("__n").over(Window.partitionBy(by).orderBy("__piece")) - F.col("__n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(by, "__piece").orderBy(*order)).cast("long") - 1
+    return pieces.withColumn(name, inside).join(before, [by, "__piece"]).withColumn(name, F.col(name) + F.col("__before")).drop("__piece", "__before")
+
+
 def entropy(rows: DataFrame, value: str, by: list[str], name: str = "entropy_bits") -> DataFrame:
     """Order-0 entropy in bits of value's histogram, by group; what is counted is up to the caller."""
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("__n"))
@@ -43,8 +59,11 @@ def warp_costs(trace: DataFrame, kind: str = "U32", warp_size: int = WARP) -> Da
         own = warped.where("active").groupBy("site", "warp").agg(F.count("*").alias("n_active"), (F.max("bits") - F.min("bits")).alias("most"))
     else:
         own = residuals(trace, kind, warp_size).groupBy("site", "warp").agg(F.count("*").alias("n_active"), F.bit_or("residual").alias("most"))
-    # warps without an active lane still take their packed header
-    every = warped.groupBy("site").agg(F.max("warp").alias("last")).select("site", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("warp"))
+    # warps without an active lane still take their packed header, so do those without any row before a site's last one
+    last = warped.groupBy("site").agg(F.max("warp").alias("last")).withColumn("last", F.col("last").cast("long"))
+    blocks = last.select("site", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / WARPS))).alias("block"))
+    spread = blocks.repartition("site", "block")  # a site's warps are made in many tasks, WARPS of them at a time
+    every = spread.select("site", F.explode(F.sequence(F.col("block") * WARPS, F.least("last", F.col("block") * WARPS + (WARPS - 1)))).alias("warp"))
     cost = every.join(own, ["site", "warp"], "left").select("site", "warp", F.coalesce("n_active", F.lit(0)).alias("n_active"), v.bit_width(F.coalesce("most", F.lit(0))).alias("width"))
     packed, raw = 39 + F.col("n_active") * F.col("width"), 1 + 32 * F.col("n_active")
     return cost.withColumns({"packed_bits": packed.cast("long"), "raw_bits": raw.cast("long")}).withColumn("cost_bits", F.least("packed_bits", "raw_bits"))
@@ -111,7 +130,3 @@ def seek(steps: DataFrame, cursor: int) -> DataFrame:
     """The step at the cursor, clamped to each lane's history."""
     last = F.max("step").over(Window.partitionBy("lane"))
     return steps.withColumn("last", last).where(F.col("step") == F.greatest(F.lit(0), F.least(F.lit(cursor), F.col("last")))).drop("last")
-
-
-def active_of(trace: DataFrame) -> Column:
-    return F.count_if(trace["active"])

@@ -9,9 +9,6 @@ from lanewise.operators import interp, numeric
 from lanewise.operators import tokens as tk
 from lanewise.plans.registry import query, table
 
-_BYTES = "b AS (SELECT doc_id, unnest(generate_series(1, CAST(octet_length(encode(text)) AS BIGINT))) p, hex(encode(text)) h FROM documents)"
-
-
 @query("SELECT CAST(count(*) AS BIGINT) docs, CAST(sum(octet_length(encode(text)) + 2) AS BIGINT) tokens FROM documents")
 def byte_token_count(spark, d):
     return table(spark, d, "documents").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text") + 2).cast("long").alias("tokens"))
@@ -180,7 +177,7 @@ def argmax_vocab(spark, d):
     return table(spark, d, "embeddings").select("vec_id", numeric.argmax(F.col("embedding")).alias("best"))
 
 
-_TP = """x AS (SELECT vec_id, unnest(generate_series(0, 63)) token, unnest(list_transform(embedding, lambda v: exp(8 * CAST(v AS DOUBLE)))) w FROM embeddings WHERE vec_id < 50),
+_TP = """x AS (SELECT vec_id, unnest(generate_series(0, 63)) token, unnest(list_transform(embedding, lambda v: exp(8 * CAST(v AS DOUBLE)))) w FROM embeddings),
 p AS (SELECT vec_id, token, w / sum(w) OVER (PARTITION BY vec_id) p FROM x), k AS (SELECT *, least(15, greatest(0, CAST(floor(-log2(p)) AS INTEGER))) bucket FROM p WHERE p > 0.0005),
 m AS (SELECT vec_id, bucket, sum(p) mass FROM k GROUP BY ALL), c AS (SELECT *, sum(mass) OVER (PARTITION BY vec_id ORDER BY bucket) - mass below FROM m)"""
 
@@ -200,7 +197,7 @@ def column_norms(spark, d):
     return numeric.column_norms(rows).select(F.col("j").cast("long").alias("j"), F.round("norm", 6).alias("norm"))
 
 
-@query("""WITH w AS (SELECT vec_id i, unnest(generate_series(0, 63)) j, unnest(embedding) v FROM embeddings WHERE vec_id < 40), m AS (SELECT j, sqrt(sum(CAST(v AS DOUBLE) * v)) m FROM w GROUP BY j),
+@query("""WITH w AS (SELECT vec_id i, unnest(generate_series(0, 63)) j, unnest(embedding) v FROM embeddings), m AS (SELECT j, sqrt(sum(CAST(v AS DOUBLE) * v)) m FROM w GROUP BY j),
 v AS (SELECT i, j, CAST(v AS DOUBLE) + ((i % 3) * 0.1::DOUBLE) * ((j % 5) * 0.2::DOUBLE) v FROM w), n AS (SELECT j, sqrt(sum(v * v)) n FROM v GROUP BY j)
 SELECT v.i, v.j, round(CASE WHEN n > 0 THEN v * m / n ELSE 0 END, 6) v FROM v JOIN n ON v.j = n.j JOIN m ON v.j = m.j""")
 def dora_effective_weight(spark, d):

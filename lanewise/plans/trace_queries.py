@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.functions import values as v
@@ -15,9 +15,8 @@ _KEY = "l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantit
 def lineitem_trace(spark: SparkSession, sf_dir: str, bits: str, *extra: str) -> DataFrame:
     """site = line number, lane = position in a total order, active = not returned."""
     rows = table(spark, sf_dir, "lineitem").selectExpr("l_linenumber as site", "l_returnflag", bits + " as bits", *extra, *_KEY.split(", "))
-    order = Window.partitionBy("site").orderBy(*_KEY.split(", "))
-    lane = (F.row_number().over(order) - 1).cast("long")
-    return rows.select("site", lane.alias("lane"), "bits", (F.col("l_returnflag") != "R").alias("active"), *[e.rsplit(" as ", 1)[1] for e in extra])
+    rows = tr.numbered(rows, "site", _KEY.split(", "))
+    return rows.select("site", "lane", "bits", (F.col("l_returnflag") != "R").alias("active"), *[e.rsplit(" as ", 1)[1] for e in extra])
 
 
 def all_active(trace: DataFrame) -> DataFrame:
