@@ -74,3 +74,13 @@ def luminance(r: Column, g: Column, b: Column) -> Column:
 
 def clamp01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+
+
+def fused_multiply_add(a: Column, b: Column, c: Column) -> Column:
+    """a b + c in floats, rounded once."""
+    return F.java_method(F.lit("java.lang.Math"), F.lit("fma"), a.cast("float"), b.cast("float"), c.cast("float")).cast("float")
+
+
+def strict_multiply_add(a: Column, b: Column, c: Column) -> Column:
+    """a b + c in floats, rounded twice."""
+    return (a.cast("float") * b.cast("float")).cast("float") + c.cast("float")

@@ -129,3 +129,30 @@ def tap_sites(insts: DataFrame, types: DataFrame, tapped: DataFrame | None = Non
     before = per.withColumn("before", F.sum("n").over(Window.orderBy("func")) - F.col("n")).drop("n")  # a row a function
     numbered = new.withColumn("k", F.row_number().over(order) - 1).join(before, "func")
     return numbered.select((first + F.col("before") + F.col("k")).cast("long").alias("site_id"), "func", "inst", F.col("result").alias("value"), F.col("op").alias("def_op"), "line")
+
+
+def insert_taps(insts: DataFrame, types: DataFrame, operands: DataFrame, accept: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(insts with a TraceTap after each capturable one, sites). Values that are tapped already stay as they are.
+
+    A tap's operand is the value, its imm0 the site, its line the instruction's; positions of a block are
+    numbered anew, and taps get instruction numbers after all others. Sites are numbered from 0 in block order.
+    """
+    done = insts.where("op = 'TraceTap'").join(operands.where("pos = 0").select("inst", "value"), "inst").select("value", F.lit(-1).cast("long").alias("site_id"))
+    sites = durable(tap_sites(insts.where(~is_terminator(F.col("op"))), types, done, accept))
+    most = insts.agg((F.max("inst") + 1).alias("n")).scalar()
+    after = sites.select("func", "inst", "site_id").join(insts.select("func", "inst", "block", "pos", "line"), ["func", "inst"])
+    none = F.lit(None).cast("long")
+    taps = after.select("func", "block", "pos", (F.coalesce(most, F.lit(0)) + F.col("site_id")).alias("inst"), F.lit("TraceTap").alias("op"), none.alias("type"), none.alias("result"), F.col("site_id").alias("imm0"), F.lit(0).cast("long").alias("imm1"), "line", F.lit(1).alias("__tap"))
+    shape = [c for c in taps.columns if c != "__tap"]
+    both = insts.select(*shape, F.lit(0).alias("__tap")).unionByName(taps)
+    place = F.row_number().over(Window.partitionBy("func", "block").orderBy("pos", "__tap")) - 1
+    return both.withColumn("pos", place).drop("__tap"), sites
+
+
+def resolved_labels(insts: DataFrame, labels: DataFrame) -> DataFrame:
+    """insts whose branch targets are blocks: labels (func, label, block); a target without one stays as it is."""
+    out = insts
+    for imm, ops in (("imm0", ("Branch", "BranchConditional")), ("imm1", ("BranchConditional",))):
+        to = labels.select("func", F.col("label").alias(imm), F.col("block").alias("__to"))
+        out = out.join(to, ["func", imm], "left").withColumn(imm, F.when(F.col("op").isin(*ops), F.coalesce("__to", imm)).otherwise(F.col(imm))).drop("__to")
+    return out.select(*insts.columns)

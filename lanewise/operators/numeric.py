@@ -19,6 +19,21 @@ def residual_rms_norm(values: Column, residual: Column, eps: float = 1e-6) -> Co
     return rms_norm(F.zip_with(values, residual, lambda x, r: x + r), eps)
 
 
+def rms_norm_gradient(values: Column, weight: Column, grad: Column, eps: float = 1e-6) -> Column:
+    """Gradient of weight * rms_norm(values) with respect to values."""
+    n = F.size(values)
+    scale = 1 / F.sqrt(_sum(values, lambda x: x * x) / n + eps)
+    weighed = F.zip_with(weight, grad, lambda w, g: w.cast("double") * g.cast("double"))
+    along = dot(values, weighed) * scale * scale * scale / n
+    return F.zip_with(values, weighed, lambda x, wg: wg * scale - along * x.cast("double"))
+
+
+def rms_norm_weight_gradient(rows: DataFrame, values: str, grad: str, eps: float = 1e-6) -> DataFrame:
+    """(j, v): gradient with respect to the weights, summed over rows."""
+    own = rows.select(F.posexplode(F.zip_with(rms_norm(F.col(values), eps), grad, lambda y, g: y * g.cast("double"))).alias("j", "v"))
+    return own.groupBy("j").agg(F.sum("v").alias("v"))
+
+
 def log_sum_exp(values: Column) -> Column:
     top = F.array_max(values).cast("double")
     return top + F.ln(_sum(values, lambda x: F.exp(x - top)))
@@ -34,6 +49,12 @@ def cross_entropy(logits: Column, target: Column) -> Column:
     return F.when((target >= 0) & (target < F.size(logits)), log_sum_exp(logits) - F.get(logits, target).cast("double"))
 
 
+def mean_cross_entropy(rows: DataFrame, logits: str, target: str, ignored: int = -100) -> DataFrame:
+    """(loss, n): mean over the rows whose target is neither ``ignored`` nor out of range; 0 over none."""
+    own = rows.where(F.col(target) != ignored).select(cross_entropy(F.col(logits), F.col(target)).alias("x"))
+    return own.agg(F.coalesce(F.avg("x"), F.lit(0.0)).alias("loss"), F.count("x").alias("n"))
+
+
 def argmax(values: Column) -> Column:
     """Index of the largest value, the first of equals."""
     return F.array_position(values, F.array_max(values)).cast("int") - 1
@@ -58,6 +79,69 @@ def dequantise_int4(packed: Column, scale: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (F.pmod(F.floor(F.pmod(packed.cast("long"), F.lit(1 << 32)) / F.pow(F.lit(16.0), k)) + 8, F.lit(16)) - 8) * scale)
 
 
+def dequantise_int4_groups(packed: Column, scales: Column, group: int) -> Column:
+    """Signed 4-bit values of an array of bytes, low nibble first, by the scale of their group of ``group`` values."""
+    nibbles = F.flatten(F.transform(packed, lambda b: F.array(F.pmod(b.cast("int"), F.lit(16)), F.pmod(F.shiftright(F.pmod(b.cast("int"), F.lit(256)), 4), F.lit(16)))))
+    return F.transform(nibbles, lambda x, k: (F.pmod(x + 8, F.lit(16)) - 8) * F.get(scales, F.floor(k / group).cast("int")))
+
+
+def dequantise_fp8(code: Column, scale: Column | float = 1.0) -> Column:
+    """The value of an 8-bit float with 4 bits of exponent and 3 of mantissa: no infinities, one NaN a sign."""
+    scale = scale if isinstance(scale, Column) else F.lit(float(scale))
+    exponent, mantissa = F.shiftright(code, 3).bitwiseAND(15), code.bitwiseAND(7)
+    size = F.when(exponent == 0, mantissa * 2.0**-9).otherwise((1 + mantissa / 8) * F.pow(F.lit(2.0), exponent - 7))
+    signed = F.when(F.shiftright(code, 7).bitwiseAND(1) == 1, -size).otherwise(size)
+    return F.when((exponent == 15) & (mantissa == 7), F.lit(float("nan"))).otherwise(signed.cast("double") * scale)
+
+
+def gathered(ids: DataFrame, table: DataFrame) -> DataFrame:
+    """(i, row) of ids (i, id) from an embedding table (id, row)."""
+    return ids.join(table, "id").select("i", "row")
+
+
+def scatter_added(ids: DataFrame, grads: DataFrame) -> DataFrame:
+    """(id, j, v): gradients (i, j, v) summed by the id of their position (i, id); partial sums come before the exchange."""
+    return grads.join(ids, "i").groupBy("id", "j").agg(F.sum(F.col("v").cast("double")).alias("v"))
+
+
+def heads_repeated(heads: DataFrame, group: int) -> DataFrame:
+    """(b, h, s, d, v) for query heads: each key-value head (b, h, s, d, v) ``group`` times, side by side."""
+    return heads.withColumn("h", F.explode(F.sequence(F.col("h") * group, F.col("h") * group + (group - 1))))
+
+
+def heads_reduced(heads: DataFrame, group: int) -> DataFrame:
+    """(b, h, s, d, v): the sum over the ``group`` query heads of each key-value head."""
+    return heads.withColumn("h", F.floor(F.col("h") / group)).groupBy("b", "h", "s", "d").agg(F.sum("v").alias("v"))
+
+
+def transposed(matrix: DataFrame) -> DataFrame:
+    return matrix.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+
+
+def axpy(alpha: float, x: DataFrame, y: DataFrame) -> DataFrame:
+    """(i, j, v) of alpha x + y for coordinate matrices; a missing cell is 0."""
+    both = x.select("i", "j", (alpha * F.col("v")).alias("v")).unionByName(y.select("i", "j", F.col("v").cast("double").alias("v")))
+    return both.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def bias_added(matrix: DataFrame, bias: DataFrame) -> DataFrame:
+    """(i, j, v) with bias (j, v) added to each row; a missing bias is 0."""
+    return matrix.join(bias.select("j", F.col("v").alias("__b")), "j", "left").select("i", "j", (F.col("v") + F.coalesce("__b", F.lit(0.0))).alias("v"))
+
+
+def top_blocks(query: DataFrame, keys: DataFrame, block: int, k: int) -> DataFrame:
+    """(q, block, score, rank): each query's ``k`` blocks of ``block`` consecutive keys with the largest mean dot product.
+
+    query: (q, g, vector), whose vectors are averaged over g first; keys: (q, t, vector). Ties go to the earlier block.
+    """
+    lanes = query.select("q", "g", F.posexplode("vector").alias("d", "x"))
+    mean = lanes.groupBy("q", "d").agg((F.sum(F.col("x").cast("double")) / F.countDistinct("g")).alias("x"))
+    cells = keys.select("q", F.floor(F.col("t") / block).alias("block"), "t", F.posexplode("vector").alias("d", "y"))
+    scored = cells.join(mean, ["q", "d"]).groupBy("q", "block").agg((F.sum(F.col("x") * F.col("y")) / F.countDistinct("t")).alias("score"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "block")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def adamw(params: DataFrame, step: int, lr: float = 1e-3, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8, decay: float = 0.01) -> DataFrame:
     """params (w, g, m, v) after one step."""
     m, v = b1 * F.col("m") + (1 - b1) * F.col("g"), b2 * F.col("v") + (1 - b2) * F.col("g") * F.col("g")
@@ -127,3 +211,46 @@ def bigram_loss(pairs: DataFrame, vocab: int = 258, smoothing: float = 1.0) -> D
 def bigram_predict(pairs: DataFrame) -> DataFrame:
     """(a, b): the likeliest next token, the smallest of equals."""
     return pairs.groupBy("a").agg(F.min_by("b", F.struct((-F.col("n")).alias("n"), F.col("b"))).alias("b"))
+
+
+def tiny_model(tokens: DataFrame, vocab: int, dim: int, epochs: int, rate: float, seed: int = 1) -> DataFrame:
+    """(epoch, loss): next-token training of an embedding and an output matrix, one token after the other.
+
+    tokens: (pos, token). Each step needs the weights after the one before, so one task does it all and holds
+    the tokens (4 bytes each); it is for small corpora. No tokens, no rows. bigram_loss() is the counted model for large ones.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def train(batches):
+        pos, token = [], []
+        for batch in batches:
+            pos.append(batch.column(0).to_numpy())
+            token.append(batch.column(1).to_numpy().astype(np.int32))
+        if not pos:
+            return
+        own = np.concatenate(token)[np.argsort(np.concatenate(pos), kind="stable")]
+        state, draws = seed or 1, np.empty(2 * vocab * dim, np.float32)
+        for k in range(len(draws)):
+            state = (state * 6364136223846793005 + 1) & ((1 << 64) - 1)
+            draws[k] = (state >> 40) / (1 << 24) * 2 - 1
+        rows, out = (0.1 * draws).reshape(2, vocab, dim).astype(np.float32)
+        bias = np.zeros(vocab, np.float32)
+        pairs = [(a, b) for a, b in zip(own, own[1:], strict=False) if a < vocab and b < vocab]
+        for epoch in range(epochs):
+            total = 0.0
+            for a, b in pairs:
+                h = rows[a].copy()
+                z = (out @ h + bias).astype(np.float64)
+                p = np.exp(z - z.max())
+                p /= p.sum()
+                total -= np.log(max(p[b], 1e-12))
+                dz = p.astype(np.float32)
+                dz[b] -= 1
+                back = dz @ out
+                out -= rate * np.outer(dz, h)
+                bias -= rate * dz
+                rows[a] = h - rate * back
+            yield pa.RecordBatch.from_pydict({"epoch": pa.array([epoch], pa.int32()), "loss": pa.array([total / len(pairs) if pairs else 0.0], pa.float64())})
+
+    return tokens.select(F.col("pos").cast("long"), F.col("token").cast("int")).repartition(1).mapInArrow(train, "epoch int, loss double")

@@ -56,7 +56,7 @@ def corpus_stats(spark, d):
     held = hashed(spark, d)
     counted = rows.agg(F.count_if(F.col("reason") == "thin").alias("thin"), F.count_if(F.col("reason") == "no_entry").alias("no_entry"), F.count_if(F.col("reason").isNull()).alias("ok"))
     own = co.dedup(held).agg(F.count("*").alias("kept"), F.sum(F.length("code")).alias("chars"))
-    both = counted.join(own)  # one row each
+    both = own.select("*", *[counted.select(c).scalar().alias(c) for c in ("thin", "no_entry", "ok")])  # scalars of one row
     return both.select("kept", (F.col("ok") - F.col("kept")).alias("dup"), "thin", "no_entry", "chars", F.round(F.col("chars") / 3.7).cast("long").alias("est_tokens"))
 
 
@@ -124,12 +124,6 @@ def extract_code(spark, d):
     return spark.createDataFrame(_RAW, "id int, raw string").select("id", co.extract_code(F.col("raw")).alias("code"))
 
 
-@query(r"SELECT doc_id, CASE WHEN contains(text, 'tion') THEN 'glsl' WHEN contains(text, 'ment') THEN 'hlsl' ELSE 'metal' END kind FROM documents WHERE length(text) >= 80 AND NOT contains(text, 'Licensed')")
-def language_signature(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").where((F.length(t) >= 80) & ~t.contains("Licensed")).select("doc_id", F.when(t.contains("tion"), "glsl").when(t.contains("ment"), "hlsl").otherwise("metal").alias("kind"))
-
-
 @query("SELECT doc_id FROM documents WHERE length(regexp_replace(text, '^[\\x09-\\x0D\\x20]+|[\\x09-\\x0D\\x20]+$', '', 'g')) >= 20 AND regexp_matches(text, '[;{=]|vec|float')")
 def meaningful_documents(spark, d):
     return table(spark, d, "documents").where(co.is_meaningful(F.col("text"))).select("doc_id")

@@ -63,79 +63,118 @@ def detokenise_round_trip(spark, d):
     return table(spark, d, "benchmark").select("item_id", tk.detokenize(tk.framed(F.col("text"))).alias("text"))
 
 
-# diamond: 0 -> 1, 2 -> 3; loop: 10 -> 11 -> 12 -> 11, 11 -> 13; single: 20
-_EDGES = [("diamond", 0, 1), ("diamond", 0, 2), ("diamond", 1, 3), ("diamond", 2, 3), ("loop", 10, 11), ("loop", 11, 12), ("loop", 11, 13), ("loop", 12, 11)]
-_BLOCKS = [("diamond", k) for k in range(4)] + [("loop", k) for k in range(10, 14)] + [("single", 20)]
-_ENTRIES = [("diamond", 0), ("loop", 10), ("single", 20)]
-_G = f"""e(func, src, dst) AS (VALUES {', '.join(map(str, _EDGES))}), bl(func, node) AS (VALUES {', '.join(map(str, _BLOCKS))}), en(func, node) AS (VALUES {', '.join(map(str, _ENTRIES))})"""
-# a dominates b iff b is unreachable without a
-_DOM = f"""{_G}, r(func, without, node) AS (SELECT en.func, bl.node, en.node FROM en JOIN bl ON en.func = bl.func AND bl.node <> en.node UNION SELECT r.func, r.without, e.dst FROM r JOIN e ON r.func = e.func AND r.node = e.src AND e.dst <> r.without),
-dom AS (SELECT b.func, b.node, a.node dom FROM bl b JOIN bl a ON a.func = b.func WHERE a.node = b.node OR NOT EXISTS (SELECT 1 FROM r WHERE r.func = b.func AND r.without = a.node AND r.node = b.node))"""
-
-
-def _graph(spark):
-    return spark.createDataFrame(_EDGES, "func string, src long, dst long"), spark.createDataFrame(_BLOCKS, "func string, node long"), spark.createDataFrame(_ENTRIES, "func string, node long")
+# a program table: an order is a function, its lines are blocks of a value and a terminator, jumps follow part and supplier
+_LINES = """l AS (SELECT CAST(l_orderkey AS VARCHAR) func, CAST(l_linenumber AS BIGINT) block, min(l_returnflag) flag, CAST(min(l_partkey) AS BIGINT) part, CAST(min(l_suppkey) AS BIGINT) supp, CAST(min(l_quantity) AS BIGINT) qty FROM lineitem GROUP BY ALL),
+t AS (SELECT *, 1 + part % 7 a, 1 + supp % 7 b FROM l)"""
+_E = f"""{_LINES}, j AS (SELECT func, block src, a dst FROM t WHERE flag <> 'N' UNION SELECT func, block, b FROM t WHERE flag = 'R'),
+e AS (SELECT DISTINCT j.func, src, dst FROM j JOIN l ON j.func = l.func AND j.dst = l.block), bl AS (SELECT func, block node FROM l), en AS (SELECT func, min(block) node FROM l GROUP BY func)"""
+# a dominates b iff b is reachable, and unreachable without a
+_DOM = """reach(func, node) AS (SELECT func, node FROM {en} UNION SELECT r.func, x.dst FROM reach r JOIN {e} x ON r.func = x.func AND r.node = x.src),
+r(func, without, node) AS (SELECT n.func, b.node, n.node FROM {en} n JOIN reach b ON n.func = b.func AND b.node <> n.node UNION SELECT r.func, r.without, x.dst FROM r JOIN {e} x ON r.func = x.func AND r.node = x.src AND x.dst <> r.without),
+dom AS (SELECT b.func, b.node, a.node dom FROM reach b JOIN reach a ON a.func = b.func WHERE a.node = b.node OR NOT EXISTS (SELECT 1 FROM r WHERE r.func = b.func AND r.without = a.node AND r.node = b.node)),
+c AS (SELECT func, node, count(*) depth FROM dom GROUP BY ALL), near AS (SELECT d.func, d.node, arg_max(d.dom, c.depth) idom FROM dom d JOIN c ON d.func = c.func AND d.dom = c.node WHERE d.dom <> d.node GROUP BY ALL)"""
+_FORWARD = f"{_E}, {_DOM.format(en='en', e='e')}"
+# backwards from a virtual exit -1 that all blocks without an edge lead to
+_BACKWARD = f"""{_E}, rv AS (SELECT func, dst src, src dst FROM e UNION SELECT bl.func, -1, bl.node FROM bl WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.func = bl.func AND e.src = bl.node)), ex AS (SELECT DISTINCT func, -1 node FROM bl),
+{_DOM.format(en='ex', e='rv')}, ip AS (SELECT bl.func, bl.node, coalesce(near.idom, -1) ipdom FROM bl LEFT JOIN near ON bl.func = near.func AND bl.node = near.node)"""
+
+
+def _lines(spark, d):
+    own = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("func"), F.col("l_linenumber").cast("long").alias("block"))
+    rows = own.agg(F.min("l_returnflag").alias("flag"), F.min("l_partkey").cast("long").alias("part"), F.min("l_suppkey").cast("long").alias("supp"), F.min("l_quantity").cast("long").alias("qty"))
+    return rows.withColumns({"a": 1 + F.col("part") % 7, "b": 1 + F.col("supp") % 7})
+
+
+def _program(spark, d):
+    """insts of the program table: two a line, numbered 20 * order + 2 * line and one more."""
+    rows = _lines(spark, d)
+    none, first = F.lit(None).cast("long"), 20 * F.col("func").cast("long") + 2 * F.col("block")
+    op = F.when(F.col("qty") % 4 == 0, "VectorTimesScalar").otherwise("FAdd")
+    value = rows.select("func", "block", F.lit(0).alias("pos"), first.alias("inst"), op.alias("op"), (2 + F.col("qty") % 3).alias("type"), first.alias("result"), none.alias("imm0"), none.alias("imm1"), F.col("qty").cast("int").alias("line"))
+    end = F.when(F.col("flag") == "N", "Return").when(F.col("flag") == "R", "BranchConditional").otherwise("Branch")
+    jump = rows.select("func", "block", F.lit(1).alias("pos"), (first + 1).alias("inst"), end.alias("op"), none.alias("type"), none.alias("result"), F.when(F.col("flag") != "N", F.col("a")).alias("imm0"), F.when(F.col("flag") == "R", F.col("b")).alias("imm1"), F.col("qty").cast("int").alias("line"))
+    return value.unionByName(jump)
+
+
+def _graph(spark, d):
+    rows = _lines(spark, d)
+    return g.cfg_edges(_program(spark, d)), rows.select("func", F.col("block").alias("node")), rows.groupBy("func").agg(F.min("block").alias("node"))
+
+
+@query(f"WITH {_E} SELECT func, src, dst FROM e")
+def cfg_edges(spark, d):
+    return g.cfg_edges(_program(spark, d))
 
 
-@query(f"WITH RECURSIVE {_DOM} SELECT func, CAST(node AS BIGINT) node, CAST(dom AS BIGINT) dom FROM dom")
+@query(f"WITH RECURSIVE {_FORWARD} SELECT func, node, dom FROM dom")
 def cfg_dominators(spark, d):
-    edges, _, entries = _graph(spark)
+    edges, _, entries = _graph(spark, d)
     return g.dominators(edges, entries)
 
 
-@query(f"""WITH RECURSIVE {_DOM}, c AS (SELECT func, node, count(*) depth FROM dom GROUP BY ALL), s AS (SELECT d.func, d.node, d.dom, c.depth FROM dom d JOIN c ON d.func = c.func AND d.dom = c.node WHERE d.dom <> d.node)
-SELECT bl.func, CAST(bl.node AS BIGINT) node, CAST(coalesce((SELECT arg_max(dom, depth) FROM s WHERE s.func = bl.func AND s.node = bl.node), bl.node) AS BIGINT) idom FROM bl""")
+@query(f"WITH RECURSIVE {_FORWARD} SELECT c.func, c.node, coalesce(near.idom, c.node) idom FROM c LEFT JOIN near ON c.func = near.func AND c.node = near.node")
 def cfg_idom(spark, d):
-    edges, _, entries = _graph(spark)
+    edges, _, entries = _graph(spark, d)
     return g.immediate_dominators(g.dominators(edges, entries))
 
 
-@query("SELECT * FROM (VALUES ('diamond', 0::BIGINT, 3::BIGINT), ('diamond', 1, 3), ('diamond', 2, 3), ('diamond', 3, -1), ('loop', 10, 11), ('loop', 11, 13), ('loop', 12, 11), ('loop', 13, -1), ('single', 20, -1)) v(func, node, ipdom)")
+@query(f"WITH RECURSIVE {_BACKWARD} SELECT func, node, CAST(ipdom AS BIGINT) ipdom FROM ip")
 def cfg_ipdom(spark, d):
-    edges, blocks, _ = _graph(spark)
+    edges, blocks, _ = _graph(spark, d)
     return g.immediate_post_dominators(edges, blocks)
 
 
-@query("SELECT * FROM (VALUES ('diamond', 0::BIGINT, 1::BIGINT), ('diamond', 0, 2), ('loop', 11, 12), ('loop', 11, 11)) v(func, node, front)")
+@query(f"""WITH RECURSIVE {_BACKWARD}, f(func, node, front, ipdom) AS (SELECT e.func, e.src, e.dst, ip.ipdom FROM e JOIN ip ON e.func = ip.func AND e.src = ip.node WHERE e.dst <> ip.ipdom
+UNION SELECT f.func, f.node, e.dst, f.ipdom FROM f JOIN e ON f.func = e.func AND f.front = e.src WHERE e.dst <> f.ipdom) SELECT func, node, front FROM f""")
 def thread_frontier(spark, d):
-    edges, blocks, _ = _graph(spark)
+    edges, blocks, _ = _graph(spark, d)
     return g.thread_frontier(edges, g.immediate_post_dominators(edges, blocks))
 
 
-_INSTS = [
-    ("good", 0, 0, 0, "FMul", 2, 10, None, None, 3), ("good", 0, 1, 1, "FAdd", 2, 11, None, None, 4), ("good", 0, 2, 2, "BranchConditional", None, None, 1, 2, 5),
-    ("good", 1, 0, 3, "Branch", None, None, 2, None, 6), ("good", 2, 0, 4, "Return", None, None, None, None, 7),
-    ("bad", 5, 0, 5, "Return", None, None, None, None, 8), ("bad", 5, 1, 6, "FAdd", 2, 12, None, None, 9), ("bad", 6, 0, 7, "VectorTimesScalar", 3, 99, None, None, 9), ("bad", 6, 1, 8, "Switch", None, None, 5, None, 9),
-]
-_INST_SHAPE = "func string, block long, pos int, inst long, op string, type long, result long, imm0 long, imm1 long, line int"
-_VALS = [(1, "Const", None, 2), (10, "InstResult", 0, 2), (11, "InstResult", 1, 2), (12, "InstResult", 5, 3)]
-_OPS = [(0, 0, 1), (0, 1, 1), (1, 0, 10), (1, 1, 77), (6, 0, 1)]
-_TYPES = [(2, "Float", None), (3, "Vector", 2), (4, "Struct", None)]
+# flaws: no terminator in every 11th line, an early one in every 13th, values unknown, unlinked or of another type by part
+_INST = f"""{_LINES}, i AS (SELECT func, block, 20 * CAST(func AS BIGINT) + 2 * block id, part, supp, qty, flag FROM t),
+x AS (SELECT func, block, 0 pos, id inst, CASE WHEN part % 13 = 0 THEN 'Kill' WHEN qty % 4 = 0 THEN 'VectorTimesScalar' ELSE 'FAdd' END op, 2 + qty % 3 "type", id result FROM i
+UNION ALL SELECT func, block, 1, id + 1, CASE WHEN part % 11 = 0 THEN 'FAdd' WHEN flag = 'N' THEN 'Return' WHEN flag = 'R' THEN 'BranchConditional' ELSE 'Branch' END, NULL, NULL FROM i),
+v AS (SELECT id "value", CASE WHEN part % 19 = 0 THEN 'Param' ELSE 'InstResult' END kind, CASE WHEN part % 23 = 0 THEN id + 1 ELSE id END inst, CASE WHEN supp % 7 = 0 THEN 9 ELSE 2 + qty % 3 END "type" FROM i WHERE part % 17 <> 0),
+o AS (SELECT id inst, id - 2 "value" FROM i), m AS (SELECT x.inst, kind, v.inst vinst, v."type" vtype, x."type" itype FROM x LEFT JOIN v ON x.result = v."value" WHERE x.result IS NOT NULL)"""
 
 
-def _program(spark):
-    return (
-        spark.createDataFrame([("good",), ("bad",), ("none",)], "func string"),
-        spark.createDataFrame([("good", 0), ("good", 1), ("good", 2), ("bad", 5), ("bad", 6), ("bad", 7)], "func string, block long"),
-        spark.createDataFrame(_INSTS, _INST_SHAPE),
-        spark.createDataFrame(_OPS, "inst long, pos int, value long"),
-        spark.createDataFrame(_VALS, "value long, kind string, inst long, type long"),
-    )
+@query(f"""WITH {_INST} SELECT 'no_blocks' "rule", 'empty' item UNION ALL SELECT 'empty_block', '99'
+UNION ALL SELECT 'early_terminator', CAST(inst AS VARCHAR) FROM x WHERE pos = 0 AND op = 'Kill' UNION ALL SELECT 'no_terminator', CAST(inst AS VARCHAR) FROM x WHERE pos = 1 AND op = 'FAdd'
+UNION ALL SELECT 'bad_operand', CAST(inst AS VARCHAR) FROM o WHERE NOT EXISTS (SELECT 1 FROM v WHERE v."value" = o."value") UNION ALL SELECT 'bad_result', CAST(inst AS VARCHAR) FROM m WHERE kind IS NULL
+UNION ALL SELECT 'unlinked_result', CAST(inst AS VARCHAR) FROM m WHERE kind IS NOT NULL AND (kind <> 'InstResult' OR vinst IS DISTINCT FROM inst) UNION ALL SELECT 'type_mismatch', CAST(inst AS VARCHAR) FROM m WHERE kind IS NOT NULL AND vtype IS DISTINCT FROM itype""")
+def uir_verify(spark, d):
+    lines = _lines(spark, d).select("func", "block", "part", "supp", "qty", (20 * F.col("func").cast("long") + 2 * F.col("block")).alias("id"))
+    insts = _program(spark, d).join(lines.select("func", "block", "part"), ["func", "block"])
+    flawed = F.when((F.col("pos") == 0) & (F.col("part") % 13 == 0), "Kill").when((F.col("pos") == 1) & (F.col("part") % 11 == 0), "FAdd").otherwise(F.col("op"))
+    kind, to = F.when(F.col("part") % 19 == 0, "Param").otherwise("InstResult"), F.when(F.col("part") % 23 == 0, F.col("id") + 1).otherwise(F.col("id"))
+    values = lines.where("part % 17 != 0").select(F.col("id").alias("value"), kind.alias("kind"), to.alias("inst"), F.when(F.col("supp") % 7 == 0, F.lit(9).cast("long")).otherwise(2 + F.col("qty") % 3).alias("type"))
+    operands = lines.select(F.col("id").alias("inst"), F.lit(0).alias("pos"), (F.col("id") - 2).alias("value"))
+    funcs = lines.select("func").distinct().unionByName(spark.sql("SELECT 'empty' AS func"))
+    blocks = lines.select("func", "block").unionByName(lines.groupBy().agg(F.min("func").alias("func"), F.lit(99).cast("long").alias("block")))
+    return g.verify(funcs, blocks, insts.withColumn("op", flawed).drop("part"), operands, values)
 
 
-@query("SELECT * FROM (VALUES ('no_blocks', 'none'), ('empty_block', '7'), ('early_terminator', '5'), ('no_terminator', '6'), ('bad_operand', '1'), ('bad_result', '7'), ('unlinked_result', '6'), ('type_mismatch', '6')) v(\"rule\", item)")
-def uir_verify(spark, d):
-    return g.verify(*_program(spark))
+_TYPES = [(2, "Float", None), (3, "Vector", 2), (4, "Struct", None)]
+_SITES = f"{_LINES}, s AS (SELECT row_number() OVER (ORDER BY func, block) - 1 site_id, func, block, 20 * CAST(func AS BIGINT) + 2 * block inst, CASE WHEN qty % 4 = 0 THEN 'VectorTimesScalar' ELSE 'FAdd' END def_op, CAST(qty AS INTEGER) line FROM t WHERE qty % 3 < 2)"
 
 
-@query("SELECT * FROM (VALUES ('good', 0::BIGINT, 1::BIGINT), ('good', 0, 2), ('good', 1, 2)) v(func, src, dst)")
-def cfg_edges(spark, d):
-    return g.cfg_edges(_program(spark)[2])
+def _types(spark):
+    return spark.createDataFrame(_TYPES, "type long, kind string, elem long")
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 'bad', 6::BIGINT, 12::BIGINT, 'FAdd', 9), (1, 'bad', 7, 99, 'VectorTimesScalar', 9), (2, 'good', 0, 10, 'FMul', 3), (3, 'good', 1, 11, 'FAdd', 4)) v(site_id, func, inst, \"value\", def_op, line)")
+@query(f'WITH {_SITES} SELECT site_id, func, inst, inst "value", def_op, line FROM s')
 def tap_sites(spark, d):
-    return g.tap_sites(spark.createDataFrame(_INSTS, _INST_SHAPE), spark.createDataFrame(_TYPES, "type long, kind string, elem long"))
+    return g.tap_sites(_program(spark, d), _types(spark))
+
+
+@query(f"""WITH {_SITES}, p AS (SELECT func, block, 0 k, CASE WHEN qty % 4 = 0 THEN 'VectorTimesScalar' ELSE 'FAdd' END op, NULL site FROM t UNION ALL SELECT func, block, 1, 'TraceTap', site_id FROM s
+UNION ALL SELECT func, block, 2, CASE WHEN flag = 'N' THEN 'Return' WHEN flag = 'R' THEN 'BranchConditional' ELSE 'Branch' END, NULL FROM t)
+SELECT func, block, CAST(row_number() OVER (PARTITION BY func, block ORDER BY k) - 1 AS INTEGER) pos, op, CAST(site AS BIGINT) site FROM p""")
+def taps_inserted(spark, d):
+    none = spark.createDataFrame([], "inst long, pos int, value long")
+    insts, _ = g.insert_taps(_program(spark, d), _types(spark), none)
+    return insts.select("func", "block", "pos", "op", F.when(F.col("op") == "TraceTap", F.col("imm0")).alias("site"))
 
 
 SIMPLE_PROGRAM = [

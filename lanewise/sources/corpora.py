@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.operators.corpus import SIGNATURES, parse_tags
+from lanewise.operators.corpus import SIGNATURES, header_record, join_passes, parse_tags
+from lanewise.operators.corpus import stripped as _strip
 
-_SPACE = r"[\x09-\x0D\x20\x1C-\x1F]+"
 _FENCE = r"(?s)```(?:glsl|c|cpp)?\s*(.*?)```"
 CODE_FIELDS = ("common", "image", "buffer_a", "buffer_b", "buffer_c", "buffer_d", "sound")
 
 
-def _strip(x: Column) -> Column:
-    return F.regexp_replace(x, rf"^{_SPACE}|{_SPACE}$", "")
-
-
 def _fenced(text: Column) -> Column:
     return _strip(F.when(text.rlike(_FENCE), F.regexp_extract(text, _FENCE, 1)).otherwise(text))
 
@@ -60,14 +56,17 @@ def chat_parquet(spark: SparkSession, path: str, source: str, column: str = "mes
     return _shape(rows.where(text.rlike(_FENCE)), source, code=_fenced(text))
 
 
+def is_language(code: Column, language: str, mode: str = "all") -> Column:
+    """Whether code is long enough and shows the language's signature; mode 'fragment' asks for a fragment shader."""
+    fragment = mode == "fragment" and language == "glsl"
+    shown = (F.length(code) >= 80) & code.rlike("mainImage|gl_FragColor|gl_FragCoord" if fragment else SIGNATURES.get(language, ""))
+    return shown & ~code.rlike(r"ShaderLab|UNITY_|#pragma surface|UnityObject") if language == "glsl" else shown
+
+
 def code_parquet(spark: SparkSession, path: str, language: str, mode: str = "all", source: str | None = None) -> DataFrame:
     """Code files of one language by its signature; mode 'fragment' keeps fragment shaders only."""
     rows = spark.read.parquet(path).select("content", "max_stars_repo_path")  # two columns reach the scan
-    code = F.col("content")
-    keep = F.length(code) >= 80
-    if language == "glsl":
-        keep &= ~code.rlike(r"ShaderLab|UNITY_|#pragma surface|UnityObject")
-    keep &= code.rlike("mainImage|gl_FragColor|gl_FragCoord") if mode == "fragment" and language == "glsl" else code.rlike(SIGNATURES.get(language, ""))
+    code, keep = F.col("content"), is_language(F.col("content"), language, mode)
     stem = F.left(F.regexp_replace(F.element_at(F.split("max_stars_repo_path", "/"), -1), r"\.[^.]*$", ""), F.lit(60))
     return _shape(rows.where(keep), source or f"thestack-{language}", name=F.when(stem != "", stem).otherwise("untitled"), code=code)
 
@@ -79,6 +78,30 @@ def text_files(spark: SparkSession, path: str, source: str, pattern: str = "*")
     return _shape(rows.select("value", name.alias("stem")), source, id=F.col("stem"), name=F.col("stem"), code=F.col("value"))
 
 
+def api_records(spark: SparkSession, path: str, known: DataFrame | None = None, *, min_likes: int = 0, min_length: int = 40) -> DataFrame:
+    """(file, code, record, hash) of a folder of program JSON files, the first file by name of each code.
+
+    Code is the passes in order, its hash the SHA-1 of its bytes. Left out: malformed files, programs with
+    fewer likes, codes that are short or in ``known`` (a column text).
+    """
+    shape = "info struct<name:string,description:string,tags:array<string>,likes:int>, renderpass array<struct<type:string,code:string>>"
+    rows = spark.read.schema(shape).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    code = join_passes(F.coalesce("renderpass", F.array().cast("array<struct<type:string,code:string>>")))
+    made = rows.where(F.coalesce("info.likes", F.lit(0)) >= min_likes).select(F.col("_metadata.file_name").alias("file"), "info", code.alias("code"))
+    made = made.select("file", "code", header_record(F.col("info.name"), F.col("info.description"), F.col("info.tags"), F.col("code")).alias("record"), F.sha1(F.col("code").cast("binary")).alias("hash"))
+    made = made.where(F.col("record").isNotNull() & (F.length("code") >= min_length))
+    if known is not None:
+        made = made.join(known.select(F.sha1(F.col("text").cast("binary")).alias("hash")), "hash", "left_anti")
+    first = made.groupBy("hash").agg(F.min_by(F.struct("file", "code", "record"), "file").alias("r"))
+    return first.select("r.*", "hash")
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """(file, metric, value) of JSON files of one flat object each; values that are no numbers are left out."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", "map<string,string>").alias("m"))
+    return rows.select("file", F.explode("m").alias("metric", "text")).select("file", "metric", F.expr("try_cast(text as double)").alias("value")).where("value is not null")
+
+
 def in_order(*sources: DataFrame) -> DataFrame:
     """The sources one after the other, with seq: a total order in which earlier ones win."""
     out = None
@@ -89,8 +112,12 @@ def in_order(*sources: DataFrame) -> DataFrame:
 
 
 def write_corpus(split: DataFrame, path: str) -> None:
-    """train text with end marks, and train and val JSON lines."""
+    """train text with end marks, train and val JSON lines, and one line of statistics."""
     train = split.where("not is_val")
+    by_source = F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "n"))))
+    counts = split.groupBy("source").agg(F.count("*").alias("n"), F.count_if("is_val").alias("v"), F.sum(F.length("record")).alias("c"))
+    stats = counts.agg(F.sum("n").alias("kept"), by_source.alias("by_source"), F.sum(F.col("n") - F.col("v")).alias("train"), F.sum("v").alias("val"), F.sum("c").alias("chars"), F.round(F.sum("c") / 3.7).cast("long").alias("est_tokens"))
+    stats.coalesce(1).write.json(f"{path}/stats.json")  # a row
     train.select(F.concat("record", F.lit("<|endoftext|>")).alias("value")).write.text(f"{path}/corpus.txt")
     for name, rows in (("train", train), ("val", split.where("is_val"))):
         rows.select("prompt", "code", "name", "source", "id").write.json(f"{path}/{name}.jsonl")

@@ -160,3 +160,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def column_by_site(columns: DataFrame, site: int) -> DataFrame:
     """The first column of a site in each file; no row if it has none."""
     return columns.where(F.col("site") == site).groupBy("path").agg(F.min_by(F.struct("site", "n", "blob"), "position").alias("c")).select("path", "c.*")
+
+
+def column_by_index(columns: DataFrame, position: int) -> DataFrame:
+    """The column at a position of each file; no row if it has none."""
+    return columns.where(F.col("position") == position).select("path", "site", "n", "blob")

@@ -85,7 +85,7 @@ def test_corpus_pieces(spark):
     assert one(record, n=" My\nshader ", d="line one\nline two", c="code \n") == "// Shader: My shader\n// line one\n// tags: t\ncode\n"
     assert corpus.allocate(13, list("abcde")) == {"a": 3, "b": 3, "c": 3, "d": 2, "e": 2}
     passes = spark.createDataFrame([([("image", "I"), ("weird", "W"), ("common", "C"), ("buffer", "B")],)], "p array<struct<type:string,code:string>>")
-    assert passes.select(corpus.join_passes(F.col("p")).alias("x")).first().x == "C\nB\nW\nI"
+    assert passes.select(corpus.join_passes(F.col("p")).alias("x")).first().x == "C\n\nB\n\nW\n\nI"
 
 
 def test_split_is_a_cut(spark):
