@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lanewise import __main__ as cli
+from lanewise.functions import values
 from lanewise.operators import corpus, graph, numeric, prompts, timings, trace
 from lanewise.operators import tokens as tk
 from lanewise.sources import corpora, store
@@ -200,3 +201,10 @@ def test_wrapping_styles(spark):
     assert ours[0] == prompts.VERSION + prompts.OUTPUT + own and ours[2] == "out vec4 o; " + own
     assert theirs[0] == prompts.VERSION + own and theirs[1] == "#version 300\n" + own
     assert ours[3] == theirs[3] and ours[3].endswith("col = vec3(1);" + prompts.CLOSE) and ours[4].endswith(prompts.CALL)
+
+
+def test_fused_and_strict_products(spark):
+    near = 1 + 2.0**-12
+    row = spark.createDataFrame([(near, near, -(1 + 2.0**-11)), (3.0, 4.0, 5.0)], "a double, b double, c double")
+    got = row.select(values.fused_multiply_add(F.col("a"), F.col("b"), F.col("c")).alias("f"), values.strict_multiply_add(F.col("a"), F.col("b"), F.col("c")).alias("s")).collect()
+    assert [(r.f, r.s) for r in got] == [(2.0**-24, 0.0), (17.0, 17.0)]
