@@ -59,7 +59,7 @@ _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
 _SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-_MENTIONS = T.ArrayType(T.StructType([T.StructField("pattern", T.StringType()), T.StructField("value", T.StringType()), T.StructField("seed", T.BooleanType())]))
+_MENTIONS = T.ArrayType(T.StructType([T.StructField("pattern", T.StringType()), T.StructField("value", T.StringType()), T.StructField("seed", T.BooleanType()), T.StructField("candidate", T.BooleanType())]))
 
 
 def luhn(digits: str) -> bool:
@@ -137,22 +137,22 @@ def contexts(text: str, spans: Iterable[tuple[int, int]]) -> Iterator[tuple[int,
         yield start, end, [] if near[1] is None else [near[1]] if near[0] is None else [near[1], f"{near[0]} {near[1]}"]
 
 
-def mentions(text: str) -> Iterator[tuple[str, str, bool]]:
-    """(pattern, value, whether a seed) of every base span and candidate."""
+def mentions(text: str) -> Iterator[tuple[str, str, bool, bool]]:
+    """(pattern, value, whether a seed, whether a candidate) of every base span and candidate."""
     base = base_spans(text)
     for s, e, patterns in contexts(text, ((s, e) for s, _, e in base)):
-        yield from ((p, text[s:e], True) for p in patterns)
+        yield from ((p, text[s:e], True, False) for p in patterns)
     for s, e, patterns in contexts(text, candidates(text, base)):
         if patterns:
             seed = _KEY.fullmatch(text, s, e) is not None
-            yield from ((p, text[s:e], seed) for p in patterns)
+            yield from ((p, text[s:e], seed, True) for p in patterns)
 
 
 @F.arrow_udf(_MENTIONS)
 def _mentions(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.list_(pa.struct([("pattern", pa.string()), ("value", pa.string()), ("seed", pa.bool_())]))
+    kind = pa.list_(pa.struct([("pattern", pa.string()), ("value", pa.string()), ("seed", pa.bool_()), ("candidate", pa.bool_())]))
     for texts in batches:
-        rows = [[{"pattern": p, "value": v, "seed": x} for p, v, x in mentions(text.as_py() or "")] for text in texts]
+        rows = [[{"pattern": p, "value": v, "seed": x, "candidate": c} for p, v, x, c in mentions(text.as_py() or "")] for text in texts]
         yield pa.array(rows, type=kind)
 
 
@@ -185,9 +185,9 @@ def _shared(spark: SparkSession, patterns: list[str]):
 def high_patterns(texts: DataFrame, *, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """Patterns (pattern, confidence) of a one-column table of texts."""
     spark = texts.sparkSession
-    edges = texts.select(F.explode(_mentions(F.col(texts.columns[0]).cast("string"))).alias("m")).groupBy("m.pattern", "m.value").agg(F.max("m.seed").alias("seed"), F.count("*").alias("n"))
+    edges = texts.select(F.explode(_mentions(F.col(texts.columns[0]).cast("string"))).alias("m")).groupBy("m.pattern", "m.value").agg(F.max("m.seed").alias("seed"), F.max("m.candidate").alias("candidate"), F.count("*").alias("n"))
     edges = durable(edges)
-    able = edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.count_if(~F.col("seed")).alias("unseen")).where((F.col("instances") >= support) & (F.col("unseen") > 0)).select("pattern")
+    able = edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.bool_or("candidate").alias("open")).where((F.col("instances") >= support) & F.col("open")).select("pattern")
     edges = durable(edges.join(able, "pattern"))
     able = edges.select("pattern").distinct()
     # without a seed in any such pattern no score ever leaves zero

@@ -63,7 +63,7 @@ def test_commas_and_long_words_stay_linear():
         began = time.perf_counter()
         found = [*pii.mentions(text)]
         assert time.perf_counter() - began < 60
-        assert all(len(p) <= 2 * pii.WORD + 1 for p, _, _ in found)
+        assert all(len(p) <= 2 * pii.WORD + 1 for p, *_ in found)
 
 
 @settings(max_examples=300, deadline=None)
@@ -84,10 +84,12 @@ def test_contexts_and_candidates_equal_plain_walks(pieces):
 
 def brute_patterns(texts, support=pii.SUPPORT, confidence=pii.CONFIDENCE, rounds=pii.ROUNDS):
     """The pattern-instance graph in plain loops: {pattern: confidence} of the high ones."""
-    count, seeds, slots = {}, set(), {}
+    count, seeds, slots, open_ = {}, set(), {}, set()
     for text in texts:
-        for p, v, seed in pii.mentions(text or ""):
+        for p, v, seed, candidate in pii.mentions(text or ""):
             count[p, v] = count.get((p, v), 0) + 1
+            if candidate:
+                open_.add(p)
             if seed:
                 seeds.add((p, v))
         words = (text or "").lower().split()
@@ -97,7 +99,7 @@ def brute_patterns(texts, support=pii.SUPPORT, confidence=pii.CONFIDENCE, rounds
     of = {}
     for p, v in count:
         of.setdefault(p, set()).add(v)
-    able = {p for p, vs in of.items() if len(vs) >= support and any((p, v) not in seeds for v in vs)}
+    able = {p for p, vs in of.items() if len(vs) >= support and p in open_}
     edges = {k: n for k, n in count.items() if k[0] in able}
     score = {k: float(k in seeds) for k in edges}
     sure = {v for p, v in edges if (p, v) in seeds}
@@ -147,6 +149,12 @@ def test_recall_on_planted_contexts(spark):
     assert {k: [v for _, v in x] for k, x in found.items() if x} == {k: [v] for k, v in planted.items()}
 
 
+def test_keys_alone_make_a_pattern(spark):
+    keys = [random.Random(k).randbytes(20).hex() for k in range(3)]
+    found = rows(spark, [f'a token = "{k}" b' for k in keys] + [f"see {keys[0]} there"])
+    assert [found[k] for k in range(4)] == [[("identifier", keys[0])], [("identifier", keys[1])], [("identifier", keys[2])], []]
+
+
 def rows(spark, texts, **options):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     return {r.doc_id: [(x.kind, docs_text[x.start : x.end]) for x in r.personal] for r in pii.find_personal_data(docs, **options).collect() for docs_text in [texts[r.doc_id] or ""]}
