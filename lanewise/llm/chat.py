@@ -71,18 +71,20 @@ def _climbed(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     one = nodes.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("total"), F.count("score").alias("scored"), F.count("*").alias("size"))
     known = one.select("tree", F.col("node").alias("parent"), F.col("node").alias("above"))
     sums = durable(_joined(one, known, "parent", "left").select("tree", "node", "above", "total", "scored", "size"))
-    hops, most = [], None
     inner = sums.where("above is not null").select("tree", F.col("above").alias("node")).distinct()
     leaves = _joined(sums.select("tree", "node"), inner, "node", "left_anti")
-    while sums.where("above is not null").head(1):
+    hops, most, whole, rest = [], None, sums.where("above is null"), sums.where("above is not null")
+    while rest.head(1):
         most = sums.count() if most is None else most
         if 1 << len(hops) > most:  # a cycle: no path is longer than there are nodes
             break
-        hops.append(sums.where("above is not null").select("tree", "node", "above"))
-        further = sums.select("tree", F.col("node").alias("above"), F.col("above").alias("top"), *[F.col(c).alias(f"{c}_up") for c in ("total", "scored", "size")])
-        grown = [(F.col(c) + F.coalesce(f"{c}_up", F.lit(0))).alias(c) for c in ("total", "scored", "size")]
-        sums = durable(_joined(sums, further, "above", "left").select("tree", "node", F.col("top").alias("above"), *grown))
-    branches = _joined(sums.where("above is null"), leaves, "node", "left_semi")
+        hops.append(rest.select("tree", "node", "above"))
+        # only nodes that have not reached their root take part
+        further = rest.unionByName(whole).select("tree", F.col("node").alias("above"), F.col("above").alias("top"), *[F.col(c).alias(f"{c}_up") for c in ("total", "scored", "size")])
+        grown = [(F.col(c) + F.col(f"{c}_up")).alias(c) for c in ("total", "scored", "size")]
+        step = durable(_joined(rest, further, "above").select("tree", "node", F.col("top").alias("above"), *grown))
+        whole, rest = whole.unionByName(step.where("above is null")), step.where("above is not null")
+    branches = _joined(whole, leaves, "node", "left_semi")
     return branches.select("tree", F.col("node").alias("leaf"), "total", "scored", "size"), hops
 
 
