@@ -90,3 +90,27 @@ def test_threshold_is_learnt_from_held_out_labels(spark):
     assert all(scored[k][1] == (scored[k][0] >= cut) for k in scored if not scored[k][2])
     right = [scored[k][1] == (k < 80) for k in scored if k not in held and not scored[k][2]]
     assert sum(right) >= 0.97 * len(right)
+
+
+def test_every_label_counts(spark):
+    """Labelled documents of all folds set the threshold; all trusted ones are the target; a fold's weights lack its own alone."""
+    import random
+
+    r = random.Random(8)
+    text = lambda bad: " ".join(f"odd{r.randrange(40)}" if bad and r.random() < 0.4 else f"word{r.randrange(40)}" for _ in range(90))
+    docs = spark.createDataFrame([(k, text(k >= 60), k) for k in range(120)], "doc_id long, text string, held_score int")
+    fold = {x.doc_id: next(k for k in range(q.HELD) if x[f"f{k}"]) for x in docs.select("doc_id", *[q._is_held(docs.doc_id, k).alias(f"f{k}") for k in range(q.HELD)]).collect()}
+    table = lambda keys: spark.createDataFrame([(k, int(k < 60), 0) for k in keys], "doc_id long, quality int, toxic int")
+    labels = table(range(120))
+    w, one = q.weights(docs, labels, held_out=True).first().w, lambda t: q.weights(docs, t).first().w
+    assert w[: q.BUCKETS] == one(labels)
+    for k in (0, 3):
+        assert w[(k + 1) * q.BUCKETS : (k + 2) * q.BUCKETS] == one(table(d for d in fold if fold[d] != k))
+    apart = table(d for d in fold if fold[d])  # none in the first fold
+    model = q.weights(docs, apart, held_out=True)
+    cut = q.learnt_threshold(docs, apart, model, key="doc_id", text="text", buckets=q.BUCKETS)
+    assert cut != q.THRESHOLD
+    whole = {x.doc_id: x for x in q.judge(docs, apart).collect()}
+    assert all(x.held_score == k and (x.base_failed or x.kept == (x.score >= cut * q.SCALE)) for k, x in whole.items())
+    short = q.judge(docs, apart, columns=["doc_id"]).collect()
+    assert {x.doc_id: (x.score, x.kept) for x in short} == {k: (x.score, x.kept) for k, x in whole.items()}
