@@ -123,3 +123,18 @@ def test_columns_that_clash_and_very_long_texts(spark):
     began = time.perf_counter()
     assert len(s.find("a1b2c3d4e5f6g7h8i9," * 50_000)) == 50_000 and len(s.find('k = "v1234567",' * 60_000)) == 60_000
     assert time.perf_counter() - began < 60
+
+
+def test_dictionary_is_whole(spark):
+    """Words beside every candidate, however many, and their letter pairs; what of them is inside a value, against plain loops."""
+    word = lambda k: "".join("abcdefghij"[int(d)] for d in f"{k:05d}")
+    beside = spark.createDataFrame([(word(k), f"of {word(k)}") for k in range(25_000)], "before string, after string")
+    words, pairs, floor = s.language(beside)
+    every = {word(k) for k in range(25_000)}
+    assert {r.word for r in words.collect()} == every
+    counts = s.Counter(w[k : k + 2] for w in every for k in range(4))
+    assert pairs == {p: math.log((c + 1) / (100_000 + 676)) for p, c in counts.items()} and floor == math.log(1 / 100_676)
+    values = [word(7) + "9" + word(24_999).upper(), "x" + word(300) + "-jjjjj", "1234567890123456", word(7) + "9" + word(24_999).upper(), None]
+    found = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id int, value string")
+    got = {r.id: r.known for r in s.with_known(found, words, "known").collect()}
+    assert {k: set(v or ()) for k, v in got.items()} == {k: {w for w in every if w in (v or "").lower()} for k, v in enumerate(values)}
