@@ -114,3 +114,10 @@ def test_every_label_counts(spark):
     assert all(x.held_score == k and (x.base_failed or x.kept == (x.score >= cut * q.SCALE)) for k, x in whole.items())
     short = q.judge(docs, apart, columns=["doc_id"]).collect()
     assert {x.doc_id: (x.score, x.kept) for x in short} == {k: (x.score, x.kept) for k, x in whole.items()}
+
+
+def test_rows_carry_no_weights(spark):
+    """The model is read where it is used; as a column it would be copied with each row."""
+    judged = rows(spark, ["a b c"], [(0, 1, 0)])
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert "__features" in plan and "scalar-subquery" in plan and "__weights" not in plan
