@@ -85,20 +85,21 @@ def _lines(spark, d):
     return rows.withColumns({"a": 1 + F.col("part") % 7, "b": 1 + F.col("supp") % 7})
 
 
-def _program(spark, d):
+def _program(spark, d, *extra):
     """insts of the program table: two a line, numbered 20 * order + 2 * line and one more."""
     rows = _lines(spark, d)
     none, first = F.lit(None).cast("long"), 20 * F.col("func").cast("long") + 2 * F.col("block")
     op = F.when(F.col("qty") % 4 == 0, "VectorTimesScalar").otherwise("FAdd")
-    value = rows.select("func", "block", F.lit(0).alias("pos"), first.alias("inst"), op.alias("op"), (2 + F.col("qty") % 3).alias("type"), first.alias("result"), none.alias("imm0"), none.alias("imm1"), F.col("qty").cast("int").alias("line"))
     end = F.when(F.col("flag") == "N", "Return").when(F.col("flag") == "R", "BranchConditional").otherwise("Branch")
-    jump = rows.select("func", "block", F.lit(1).alias("pos"), (first + 1).alias("inst"), end.alias("op"), none.alias("type"), none.alias("result"), F.when(F.col("flag") != "N", F.col("a")).alias("imm0"), F.when(F.col("flag") == "R", F.col("b")).alias("imm1"), F.col("qty").cast("int").alias("line"))
-    return value.unionByName(jump)
+    made = {"pos": (F.lit(0), F.lit(1)), "inst": (first, first + 1), "op": (op, end), "type": (2 + F.col("qty") % 3, none), "result": (first, none), "imm0": (none, F.when(F.col("flag") != "N", F.col("a"))), "imm1": (none, F.when(F.col("flag") == "R", F.col("b")))}
+    # the two come from one row, so the lines are made once
+    both = F.array(*[F.struct(*[c[k].alias(n) for n, c in made.items()]) for k in range(2)])
+    return rows.select("func", "block", F.inline(both), F.col("qty").cast("int").alias("line"), *extra)
 
 
 def _graph(spark, d):
-    rows = _lines(spark, d)
-    return g.cfg_edges(_program(spark, d)), rows.select("func", F.col("block").alias("node")), rows.groupBy("func").agg(F.min("block").alias("node"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("func"), F.col("l_linenumber").cast("long").alias("node"))
+    return g.cfg_edges(_program(spark, d)), lines.distinct(), lines.groupBy("func").agg(F.min("node").alias("node"))
 
 
 @query(f"WITH {_E} SELECT func, src, dst FROM e")
@@ -115,7 +116,7 @@ def cfg_dominators(spark, d):
 @query(f"WITH RECURSIVE {_FORWARD} SELECT c.func, c.node, coalesce(near.idom, c.node) idom FROM c LEFT JOIN near ON c.func = near.func AND c.node = near.node")
 def cfg_idom(spark, d):
     edges, _, entries = _graph(spark, d)
-    return g.immediate_dominators(g.dominators(edges, entries))
+    return g.immediate_dominators(edges, entries)
 
 
 @query(f"WITH RECURSIVE {_BACKWARD} SELECT func, node, CAST(ipdom AS BIGINT) ipdom FROM ip")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +122,88 @@ def test_graph_unreachable(spark):
     assert got == {(0, 0), (1, 0), (1, 1)}
 
 
+def random_graphs(spark):
+    r = random.Random(5)
+    edges, blocks = set(), []
+    for k in range(30):
+        n = r.randint(1, 9)
+        blocks += [(f"f{k}", b) for b in range(n)]
+        edges |= {(f"f{k}", r.randrange(n), r.randrange(n)) for _ in range(r.randint(0, 2 * n))}
+    edges |= {("long", k, k + 1) for k in range(50)}
+    blocks += [("long", k) for k in range(51)]
+    frame = spark.createDataFrame(sorted(edges), "func string, src long, dst long")
+    return edges, blocks, frame, spark.createDataFrame(blocks, "func string, node long")
+
+
+def reach(edges, func, starts, without=None):
+    seen, left = set(), [s for s in starts if s != without]
+    while left:
+        at = left.pop()
+        if at not in seen:
+            seen.add(at)
+            left += [d for f, s, d in edges if (f, s) == (func, at) and d != without]
+    return seen
+
+
+def brute_dominators(edges, func, starts):
+    all_ = reach(edges, func, starts)
+    lost = {a: all_ - reach(edges, func, starts, a) for a in all_}
+    return {(b, a) for a in all_ for b in lost[a] | {a}}
+
+
+def nearest(dom):
+    depth = {b: sum(x == b for x, _ in dom) for b, _ in dom}
+    return {b: max((a for x, a in dom if x == b and a != b), key=depth.get, default=b) for b in depth}
+
+
+def one_pass(monkeypatch, spark):
+    """No rounds: nothing may be cut; and functions that go on over several batches."""
+    monkeypatch.setattr(graph, "durable", None)
+    monkeypatch.setattr(graph, "BATCH", 5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    return lambda: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_idoms_in_one_pass(spark, monkeypatch):
+    edges, blocks, frame, _ = random_graphs(spark)
+    entries = spark.createDataFrame([(f, 0) for f in {f for f, _ in blocks}], "func string, node long")
+    undo = one_pass(monkeypatch, spark)
+    got = {(r.func, r.node): r.idom for r in graph.immediate_dominators(frame, entries).collect()}
+    pairs = [(r.func, r.node, r.dom) for r in graph.dominators(frame, entries).collect()]
+    found = {tuple(r) for r in graph.reachable(frame, entries).collect()}
+    undo()
+    want = {f: brute_dominators(edges, f, [0]) for f in {f for f, _ in blocks}}
+    assert got == {(f, b): a for f, dom in want.items() for b, a in nearest(dom).items()}
+    assert sorted(pairs) == sorted((f, b, a) for f, dom in want.items() for b, a in dom)
+    assert found == {(f, b) for f, dom in want.items() for b, _ in dom}
+
+
+def test_ipdoms_in_one_pass(spark, monkeypatch):
+    edges, blocks, frame, nodes = random_graphs(spark)
+    undo = one_pass(monkeypatch, spark)
+    got = [tuple(r) for r in graph.immediate_post_dominators(frame, nodes).collect()]
+    undo()
+    want = []
+    for f in {f for f, _ in blocks}:
+        own = [b for g, b in blocks if g == f]
+        back = {(f, d, s) for g, s, d in edges if g == f} | {(f, -1, b) for b in own if not any((g, s) == (f, b) for g, s, _ in edges)}
+        near = nearest(brute_dominators(back, f, [-1]))
+        want += [(f, b, near.get(b, -1)) for b in own]
+    assert sorted(got) == sorted(want)
+
+
+def test_frontiers_in_one_pass(spark, monkeypatch):
+    edges, blocks, frame, nodes = random_graphs(spark)
+    ends = {(f, b): (b * 7 + 3) % 5 for f, b in blocks}
+    ipdom = spark.createDataFrame([(f, b, e) for (f, b), e in ends.items()], "func string, node long, ipdom long")
+    undo = one_pass(monkeypatch, spark)
+    got = [tuple(r) for r in graph.thread_frontier(frame, ipdom).collect()]
+    undo()
+    want = [(f, b, x) for (f, b), e in ends.items() for x in reach(edges, f, [d for g, s, d in edges if (g, s) == (f, b)], e)]
+    assert sorted(got) == sorted(want)
+
+
 def test_taps_continue(spark):
     insts = spark.createDataFrame([("f", 0, k, k, "FAdd", 1, 10 + k, None, None, k) for k in range(3)], "func string, block long, pos int, inst long, op string, type long, result long, imm0 long, imm1 long, line int")
     types = spark.createDataFrame([(1, "Float", None)], "type long, kind string, elem long")
