@@ -15,6 +15,8 @@ from lanewise.operators.rounds import durable
 WARP = 32
 #: Warps of a site that are made from one row.
 WARPS = 4096
+#: Rows of a piece that one task sorts, and rows below which no task is worth its start.
+PIECE, FEW = 250_000, 10_000
 
 
 def with_warp(trace: DataFrame, warp_size: int = WARP) -> DataFrame:
@@ -22,17 +24,26 @@ def with_warp(trace: DataFrame, warp_size: int = WARP) -> DataFrame:
     return trace.withColumn("warp", F.floor(F.col("lane") / max(1, warp_size)).cast("long"))
 
 
-def numbered(rows: DataFrame, by: str, order: list[str], name: str = "lane") -> DataFrame:
-    """rows with their number from 0 in each group of ``by``, in order.
+def numbered(rows: DataFrame, by: str | None, order: list[str], name: str = "lane", keep: list[str] | None = None) -> DataFrame:
+    """rows with their number from 0 in each group of ``by`` (None: among all), in order; of their columns, ``by`` and ``keep`` (None: all) stay.
 
-    Rows are range-partitioned by (by, order), numbered inside the pieces, and shifted by the rows of their
-    group in earlier pieces, so a group is numbered by many tasks.
+    Rows are range-partitioned by (by, order) into pieces whose number grows with the rows, sorted and numbered inside the
+    pieces, and shifted by the rows of their group in earlier pieces: many tasks number a group, each holds about a piece.
     """
-    pieces = durable(rows.repartitionByRange(by, *order).withColumn("__piece", F.spark_partition_id()))
-    counts = pieces.groupBy(by, "__piece").agg(F.count("*").alias("__n"))  # a row a group and piece
-    before = counts.select(by, "__piece", (F.sum("__n").over(Window.partitionBy(by).orderBy("__piece")) - F.col("__n")).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy(by, "__piece").orderBy(*order)).cast("long") - 1
-    return pieces.withColumn(name, inside).join(before, [by, "__piece"]).withColumn(name, F.col(name) + F.col("__before")).drop("__piece", "__before")
+    keys = [*([by] if by else []), *order]
+    n, most = rows.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = rows.repartitionByRange(max(n // PIECE + 1, min(most, n // FEW + 1)), *keys).sortWithinPartitions(*keys)
+    kept = rows.columns if keep is None else [*([by] if by and by not in keep else []), *keep]
+    # the partition's number above 33 bits of the row's place in it
+    pieces = durable(sorted_.select(*kept, F.monotonically_increasing_id().alias("__at")))
+    group = [by] if by else []
+    counts = pieces.groupBy(*group, F.shiftright("__at", 33).alias("__piece")).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))  # a row a group and piece
+    earlier = F.sum("__n").over(Window.partitionBy(*group).orderBy("__piece")) - F.col("__n")
+    shift = durable(counts.select(*group, "__piece", (earlier - F.col("__first")).alias("__shift")))
+    if shift.count() <= FEW:
+        shift = F.broadcast(shift)
+    placed = pieces.withColumn("__piece", F.shiftright("__at", 33)).join(shift, [*group, "__piece"])
+    return placed.select(*[c for c in kept if c != name], (F.col("__at") + F.col("__shift")).alias(name))
 
 
 def entropy(rows: DataFrame, value: str, by: list[str], name: str = "entropy_bits") -> DataFrame:

@@ -14,9 +14,9 @@ _KEY = "l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantit
 
 def lineitem_trace(spark: SparkSession, sf_dir: str, bits: str, *extra: str) -> DataFrame:
     """site = line number, lane = position in a total order, active = not returned."""
-    rows = table(spark, sf_dir, "lineitem").selectExpr("l_linenumber as site", "l_returnflag", bits + " as bits", *extra, *_KEY.split(", "))
-    rows = tr.numbered(rows, "site", _KEY.split(", "))
-    return rows.select("site", "lane", "bits", (F.col("l_returnflag") != "R").alias("active"), *[e.rsplit(" as ", 1)[1] for e in extra])
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_linenumber as site", "l_returnflag != 'R' as active", bits + " as bits", *extra, *_KEY.split(", "))
+    own = [e.rsplit(" as ", 1)[1] for e in extra]
+    return tr.numbered(rows, "site", _KEY.split(", "), keep=["bits", "active", *own]).select("site", "lane", "bits", "active", *own)
 
 
 def all_active(trace: DataFrame) -> DataFrame:
