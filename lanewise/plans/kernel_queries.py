@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lanewise.operators import graph as g
 from lanewise.operators import interp, numeric
 from lanewise.operators import tokens as tk
+from lanewise.operators.trace import FEW, PIECE
 from lanewise.plans.registry import query, table
 
 @query("SELECT CAST(count(*) AS BIGINT) docs, CAST(sum(octet_length(encode(text)) + 2) AS BIGINT) tokens FROM documents")
@@ -79,8 +80,16 @@ _BACKWARD = f"""{_E}, rv AS (SELECT func, dst src, src dst FROM e UNION SELECT b
 {_DOM.format(en='ex', e='rv')}, ip AS (SELECT bl.func, bl.node, coalesce(near.idom, -1) ipdom FROM bl LEFT JOIN near ON bl.func = near.func AND bl.node = near.node)"""
 
 
+def _by_function(spark, d, *columns):
+    """lineitem's rows as (func, block, columns), a function's rows together; the pieces' number grows with the rows, so their size does not."""
+    rows = table(spark, d, "lineitem")
+    n, most = rows.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = rows.select(F.col("l_orderkey").cast("string").alias("func"), F.col("l_linenumber").cast("long").alias("block"), *columns)
+    return own.repartition(max(n // PIECE + 1, min(most, n // FEW + 1)), "func")
+
+
 def _lines(spark, d):
-    own = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("func"), F.col("l_linenumber").cast("long").alias("block"))
+    own = _by_function(spark, d, "l_returnflag", "l_partkey", "l_suppkey", "l_quantity").groupBy("func", "block")
     rows = own.agg(F.min("l_returnflag").alias("flag"), F.min("l_partkey").cast("long").alias("part"), F.min("l_suppkey").cast("long").alias("supp"), F.min("l_quantity").cast("long").alias("qty"))
     return rows.withColumns({"a": 1 + F.col("part") % 7, "b": 1 + F.col("supp") % 7})
 
@@ -98,7 +107,7 @@ def _program(spark, d, *extra):
 
 
 def _graph(spark, d):
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("func"), F.col("l_linenumber").cast("long").alias("node"))
+    lines = _by_function(spark, d).withColumnRenamed("block", "node")
     return g.cfg_edges(_program(spark, d)), lines.distinct(), lines.groupBy("func").agg(F.min("node").alias("node"))
 
 
@@ -146,7 +155,7 @@ UNION ALL SELECT 'bad_operand', CAST(inst AS VARCHAR) FROM o WHERE NOT EXISTS (S
 UNION ALL SELECT 'unlinked_result', CAST(inst AS VARCHAR) FROM m WHERE kind IS NOT NULL AND (kind <> 'InstResult' OR vinst IS DISTINCT FROM inst) UNION ALL SELECT 'type_mismatch', CAST(inst AS VARCHAR) FROM m WHERE kind IS NOT NULL AND vtype IS DISTINCT FROM itype""")
 def uir_verify(spark, d):
     lines = _lines(spark, d).select("func", "block", "part", "supp", "qty", (20 * F.col("func").cast("long") + 2 * F.col("block")).alias("id"))
-    insts = _program(spark, d).join(lines.select("func", "block", "part"), ["func", "block"])
+    insts = _program(spark, d, "part")
     flawed = F.when((F.col("pos") == 0) & (F.col("part") % 13 == 0), "Kill").when((F.col("pos") == 1) & (F.col("part") % 11 == 0), "FAdd").otherwise(F.col("op"))
     kind, to = F.when(F.col("part") % 19 == 0, "Param").otherwise("InstResult"), F.when(F.col("part") % 23 == 0, F.col("id") + 1).otherwise(F.col("id"))
     values = lines.where("part % 17 != 0").select(F.col("id").alias("value"), kind.alias("kind"), to.alias("inst"), F.when(F.col("supp") % 7 == 0, F.lit(9).cast("long")).otherwise(2 + F.col("qty") % 3).alias("type"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanewise.functions.opcodes import EXPRESSIONS, OPCODES
-from lanewise.operators import corpus, graph, interp, numeric, scoring, tokens
+from lanewise.operators import corpus, graph, interp, numeric, rounds, scoring, tokens, trace
 from lanewise.plans.kernel_queries import SIMPLE_PROGRAM
 from lanewise.sources import corpora
 from lanewise.streaming import streams
@@ -158,7 +158,8 @@ def nearest(dom):
 
 def one_pass(monkeypatch, spark):
     """No rounds: nothing may be cut; and functions that go on over several batches."""
-    monkeypatch.setattr(graph, "durable", None)
+    monkeypatch.setattr(rounds, "durable", None)
+    monkeypatch.setattr(graph, "durable", None, raising=False)
     monkeypatch.setattr(graph, "BATCH", 5)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)

@@ -43,6 +43,56 @@ def test_numbers_by_pieces(spark):
     assert "SinglePartition" not in plan(out)
 
 
+def test_pieces_grow_in_number_not_in_size(spark, monkeypatch):
+    monkeypatch.setattr(trace, "PIECE", 100)
+    sizes, cut = [], trace.durable
+    monkeypatch.setattr(trace, "durable", lambda df: sizes.append(df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]) or cut(df))
+    rows = spark.range(5000).selectExpr("id % 7 as g", "id * 7919 % 5000 as x", "'dropped' as y")
+    own, all_ = trace.numbered(rows, "g", ["x"], "at", keep=["x"]), trace.numbered(rows, None, ["x"], "at", keep=["g", "x"])
+    assert own.columns == ["g", "x", "at"] and max(sizes) < 500  # 1,250 by the session's four partitions
+    assert "row_number" not in plan(own) and "SinglePartition" not in plan(all_)
+    want = rows.select("g", "x", (F.row_number().over(Window.partitionBy("g").orderBy("x")) - 1).cast("long").alias("at"))
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, want.collect()))
+    assert {r.x: r.at for r in all_.collect()} == {k: k for k in range(5000)}
+
+
+def test_sites_of_many_functions_are_numbered_by_pieces(spark, monkeypatch):
+    monkeypatch.setattr(trace, "PIECE", 20)
+    shape = "func string, block long, pos int, inst long, op string, type long, result long, imm0 long, imm1 long, line int"
+    insts = spark.createDataFrame([(f"f{k % 40}", k % 3, k, k, "FAdd", 2, k, None, None, 0) for k in range(300)], shape)
+    types = spark.createDataFrame([(2, "Float", None)], "type long, kind string, elem long")
+    sites = graph.tap_sites(insts, types)
+    assert "SinglePartition" not in plan(sites)
+    want = sorted((r.func, r.block, r.pos, r.inst) for r in insts.collect())
+    assert [r.inst for r in sites.orderBy("site_id").collect()] == [w[3] for w in want]
+    assert [r.site_id for r in sites.orderBy("site_id").collect()] == list(range(300))
+
+
+def test_taps_are_numbered_by_pieces_once(spark, monkeypatch):
+    monkeypatch.setattr(trace, "PIECE", 20)
+    calls = []
+    monkeypatch.setattr(graph, "numbered", lambda *a: calls.append(a[0].columns) or trace.numbered(*a))
+    shape = "func string, block long, pos int, inst long, op string, type long, result long, imm0 long, imm1 long, line int"
+    insts = spark.createDataFrame([(f"f{k % 40}", k % 3, k, k, "FAdd", 2, k, None, None, 0) for k in range(300)], shape)
+    types, none = spark.createDataFrame([(2, "Float", None)], "type long, kind string, elem long"), spark.createDataFrame([], "inst long, pos int, value long")
+    tapped, sites = graph.insert_taps(insts, types, none)
+    assert len(calls) == 1 and {"block", "pos"} <= set(calls[0]) and tapped.count() == 600 and sites.count() == 300
+    by_inst = {r.inst: r.site_id for r in sites.collect()}
+    rows = sorted((r.func, r.block, r.pos, r.op, r.inst, r.imm0) for r in tapped.collect())
+    assert all(b[3] == "TraceTap" and b[5] == by_inst[a[4]] for a, b in zip(rows[::2], rows[1::2], strict=True))
+
+
+def test_verify_looks_values_up_once(spark):
+    insts = spark.createDataFrame([("f", 0, 0, 1, "FAdd", 2, 10), ("f", 0, 1, 2, "Return", None, None), ("f", 1, 0, 3, "Kill", 2, 11), ("f", 1, 1, 4, "FAdd", 2, 12), ("f", 2, 0, 5, "Return", 3, 13)], "func string, block long, pos int, inst long, op string, type long, result long")
+    values = spark.createDataFrame([(10, "InstResult", 1, 2), (12, "Param", 9, 7), (13, None, 5, 3), (77, "Param", 1, 1), (77, "Param", 2, 2)], "value long, kind string, inst long, type long")
+    operands = spark.createDataFrame([(1, 0, 77), (2, 0, 78), (3, 0, None), (4, 0, 10), (5, 0, 13)], "inst long, pos int, value long")
+    funcs = spark.createDataFrame([("f",), ("g",)], "func string")
+    blocks = spark.createDataFrame([("f", 0), ("f", 1), ("f", 2), ("f", 3)], "func string, block long")
+    out = graph.verify(funcs, blocks, insts, operands, values)
+    assert sorted(map(tuple, out.collect())) == [("bad_operand", "2"), ("bad_operand", "3"), ("bad_result", "3"), ("bad_result", "5"), ("early_terminator", "3"), ("empty_block", "3"), ("no_blocks", "g"), ("no_terminator", "4"), ("type_mismatch", "4"), ("unlinked_result", "4")]
+    assert plan(out).split("== Physical Plan ==")[1].split("Initial Plan")[-1].count("Join ") <= 3
+
+
 def test_split_without_a_large_top_n(spark, monkeypatch):
     monkeypatch.setattr(corpus, "FEW", 3)
     rows = spark.range(3000).selectExpr("id as seq", "cast(id % 500 as string) as id", "'n' as name")
