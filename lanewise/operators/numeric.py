@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanewise.operators.rounds import durable
+from lanewise.operators.trace import FEW, PIECE
+
 
 def _sum(values: Column, use=lambda x: x) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + use(x.cast("double")))
@@ -177,17 +180,25 @@ def column_norms(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("j").agg(F.sqrt(F.sum(F.col("v").cast("double") * F.col("v").cast("double"))).alias("norm"))
 
 
+def _beside(table: DataFrame) -> DataFrame:
+    """table, sent to all tasks where it is small: a join by its few keys would deal the other side's rows to as few tasks."""
+    kept = durable(table)
+    return F.broadcast(kept) if kept.count() <= FEW else kept
+
+
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     """(i, j, v) of the product of coordinate matrices."""
     right = b.select(F.col("i").alias("k"), "j", F.col("v").alias("w"))
-    return a.select("i", F.col("j").alias("k"), "v").join(right, "k").groupBy("i", "j").agg(F.sum(F.col("v").cast("double") * F.col("w").cast("double")).alias("v"))
+    return a.select("i", F.col("j").alias("k"), "v").join(_beside(right), "k").groupBy("i", "j").agg(F.sum(F.col("v").cast("double") * F.col("w").cast("double")).alias("v"))
 
 
 def dora_weight(base: DataFrame, b: DataFrame, a: DataFrame, magnitude: DataFrame) -> DataFrame:
     """(i, j, v): columns of base + B A, scaled to the magnitudes (j, m); a zero column stays zero."""
-    moved = base.unionByName(matmul(b, a)).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    norms = column_norms(moved)
-    scaled = moved.join(norms, "j").join(magnitude, "j")
+    # rows meet in pieces whose number grows with the cells, so that what a task sums does not
+    n, most = base.count(), int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(n // PIECE + 1, min(most, n // FEW + 1))
+    moved = base.unionByName(matmul(b.repartition(parts, "i"), a)).repartition(parts, "i").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    scaled = moved.join(_beside(column_norms(moved).join(magnitude, "j")), "j")
     return scaled.select("i", "j", F.when(F.col("norm") > 0, F.col("v") * F.col("m") / F.col("norm")).otherwise(0.0).alias("v"))
 
 

@@ -93,6 +93,32 @@ def test_verify_looks_values_up_once(spark):
     assert plan(out).split("== Physical Plan ==")[1].split("Initial Plan")[-1].count("Join ") <= 3
 
 
+def test_bigrams_in_stretches_make_no_row_a_byte(spark, monkeypatch):
+    monkeypatch.setattr(tk, "STRETCH", 3)
+    r = random.Random(2)
+    texts = ["".join(r.choice("abñ漢") for _ in range(r.choice([0, 0, 1, 2, 9]))) for _ in range(60)] + [None]
+    want = {}
+    for t in texts[:-1]:
+        own = [256, *t.encode(), 257]
+        for p in zip(own, own[1:], strict=False):
+            want[p] = want.get(p, 0) + 1
+    out = tk.bigrams(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert {(x.a, x.b): x.n for x in out.collect()} == want and "explode" not in plan(out)
+    assert tk.bigrams(spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_dora_deals_no_rows_by_few_keys(spark):
+    cells = lambda rows: spark.createDataFrame(rows, "i long, j long, v double")
+    base, b, a = cells([(i, j, 1.0 + i + j) for i in range(50) for j in range(3)]), cells([(i, 0, i % 3 * 0.1) for i in range(50)]), cells([(0, j, j * 0.2) for j in range(3)])
+    out = numeric.dora_weight(base, b, a, numeric.column_norms(base).withColumnRenamed("norm", "m"))
+    moved = {(i, j): 1.0 + i + j + i % 3 * 0.1 * j * 0.2 for i in range(50) for j in range(3)}
+    norm = lambda m, j: math.sqrt(sum(v * v for (_, k), v in m.items() if k == j))
+    scale = [norm({(i, j): 1.0 + i + j for i, j in moved}, j) / norm(moved, j) for j in range(3)]
+    got = {(r.i, r.j): r.v for r in out.collect()}
+    assert got.keys() == moved.keys() and all(abs(v - moved[k] * scale[k[1]]) < 1e-9 for k, v in got.items())
+    assert "SortMergeJoin" not in plan(out)
+
+
 def test_split_without_a_large_top_n(spark, monkeypatch):
     monkeypatch.setattr(corpus, "FEW", 3)
     rows = spark.range(3000).selectExpr("id as seq", "cast(id % 500 as string) as id", "'n' as name")
